@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, minhash, packing, topk, wordrepeats
+from . import media, minhash, mixing, packing, secrets, tokencount, topk, toxicity, wordrepeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +19,37 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents before and after personal data in them are replaced by a mark."""
+    return tokencount.edited_counts(table(spark, sf_dir, "documents"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Target shares of the languages' tokens.
+LANGUAGE_WEIGHTS = {"en": 0.55, "fr": 0.16, "de": 0.16, "es": 0.13}
+
+
+def language_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, domain): the language of the documents that the labelled table covers."""
+    return docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text", docs["lang"].alias("domain"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, language_labels(docs, table(spark, sf_dir, "labels")), LANGUAGE_WEIGHTS)
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train_forest(secrets.labelled_findings(spark)))
+
+
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
@@ -31,7 +58,7 @@ def op10_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordrepeats.remove_repeated_words(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_packing, op6_minhash, op9_media, op10_word_repeats)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_packing, op3_token_counts, op5_toxicity, op6_minhash, op7_mixing, op8_secrets, op9_media, op10_word_repeats)}
 
 ORACLE_SQL = {
     "op1_topk": """

@@ -82,11 +82,11 @@ def pieces(offs: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int, in
 class Grid:
     """The words of some documents: start and end bytes, hashes, first word of each document."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False, hashed: bool = True):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False, hashed: bool = True, separators: np.ndarray = _SEP):
         self.data = data = data[offs[0] : offs[-1]]
         self.offs = offs = offs - offs[0]
         n = len(data)
-        full = ~_SEP[data]
+        full = ~separators[data]
         cut = np.zeros(n + 1, bool)
         cut[offs] = True
         before = np.empty(n, bool)
@@ -100,7 +100,7 @@ class Grid:
         self.end = np.flatnonzero(full & ~after) + 1
         self.first = np.searchsorted(self.start, offs)
         if hashed:
-            prefix = prefix_hash((LOWER_CODE if lower else BYTE_CODE)[data])
+            prefix = self.prefix = prefix_hash((LOWER_CODE if lower else BYTE_CODE)[data])
             size = self.end - self.start
             self.hash = mix(span_hash(prefix, self.start, size) + size.astype(np.uint64))
 
