@@ -124,7 +124,10 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total:
 
 
 def resample(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total: float | None = None) -> DataFrame:
-    """The rows of docs, each as many times as mix() gives copies, with their columns."""
-    mixed = mix(docs, labelled, weights, total).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    rows = docs.join(mixed, "doc_id").select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+    """The rows of docs, each as many times as mix() gives copies, with their columns.
+
+    Rows that repeat a doc_id are all repeated as often as the one with most copies.
+    """
+    mixed = mix(docs, labelled, weights, total).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
+    rows = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_id"])).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
     return rows.drop("_copy")
