@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, minhash, mixing, packing, secrets, tokencount, topk, toxicity, wordrepeats
+from . import byterepeats, media, minhash, mixing, packing, secrets, tokencount, topk, toxicity, wordrepeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.edited_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byterepeats.remove_repeated_bytes(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,7 +62,7 @@ def op10_word_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordrepeats.remove_repeated_words(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_packing, op3_token_counts, op5_toxicity, op6_minhash, op7_mixing, op8_secrets, op9_media, op10_word_repeats)}
+QUERIES = {f.__name__: f for f in (op1_topk, op2_packing, op3_token_counts, op4_byte_repeats, op5_toxicity, op6_minhash, op7_mixing, op8_secrets, op9_media, op10_word_repeats)}
 
 ORACLE_SQL = {
     "op1_topk": """
