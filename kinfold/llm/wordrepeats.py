@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import discard, materialize
 from .textgrid import Grid, batch_text, mix, pieces, prefix_hash, span_hash, window_ends
 
 
@@ -140,12 +140,15 @@ def remove_repeated_words(docs: DataFrame, length: int = 50) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = docs.where(F.col("doc_id").isNotNull())
     first = materialize(anchors(own, short, length), "halves")
-    half = first.join(repeated(first, ["h"]).select("h"), "h")
-    marks = half.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    # repeated keys are a table of their own: a join of two shuffled tables can split a key of many rows
+    again = materialize(repeated(first, ["h"]).select("h"), "repeated")
+    marks = first.join(again, "h").groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("places"))
     marks = materialize(marks, "marks")
+    discard(first)
     marked = materialize(own.join(marks, "doc_id"), "marked")
-    full = materialize(long_windows(marked, short, length), "windows")
-    later = full.join(repeated(full, ["h", "h2"]), ["h", "h2"]).where("low < doc_id")
+    full = long_windows(marked, short, length)  # made twice: cheaper than to keep
+    shared = materialize(repeated(full, ["h", "h2"]), "shared")
+    later = full.join(shared, ["h", "h2"]).where("low < doc_id")
     gone = materialize(later.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "gone")
     touched = strip(marked.drop("places").join(gone, "doc_id", "left"), length, True)
     rest = strip(docs, length, False).join(marks.select("doc_id"), "doc_id", "left_anti")
