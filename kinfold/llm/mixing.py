@@ -13,29 +13,38 @@ from .hashedwords import BITS, Features, group_sums
 from .store import materialize
 from .textgrid import Grid, batch_text, pieces
 
-#: Bounds of the training sample: labelled rows of each domain, and bytes of a text in it.
+#: Bounds of the training sample: labelled rows of each domain, bytes of a text in it, domains.
 SAMPLE_ROWS = 400
 SAMPLE_BYTES = 40_000
+DOMAINS = 64
 SHARPNESS = 12.0
 ROUNDS = 8
 
 
-def fit_domains(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
-    """Domains and their smoothed log word rates, from a bounded sample of (doc_id, text, domain).
+def fit_domains(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
+    """Domains and their smoothed log word rates, from a bounded sample of the documents that labelled
+    (doc_id, domain) names.
 
-    Null domains and texts over sample_bytes aren't learnt from; each domain's rows of least id hash are.
+    Each domain's rows of least id hash are learnt from; null ids and domains, null texts and texts over
+    sample_bytes aren't. Texts are read for the sample's ids only.
     """
-    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("domain").cast("string").alias("domain"))
-    rows = rows.where(F.col("domain").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= sample_bytes))
-    names = sorted(r["domain"] for r in rows.select("domain").distinct().limit(1025).collect())
-    if len(names) > 1024:
-        raise ValueError("more than 1024 domains")
+    fit = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(F.col("text").cast("string")).alias("size")).where(F.col("size") <= sample_bytes).select("doc_id")
+    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain")).where("doc_id is not null and domain is not null")
+    rows = materialize(rows.join(fit, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("domain").alias("domain")), "labelled")
+    names = sorted(r["domain"] for r in rows.select("domain").distinct().limit(DOMAINS + 1).collect())
+    if len(names) > DOMAINS:
+        raise ValueError(f"more than {DOMAINS} domains")
     counts = np.zeros((len(names), 1 << BITS), np.float64)
-    for k, name in enumerate(names):
-        for r in rows.where(F.col("domain") == name).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample_rows).collect():
+    if names:
+        picked = None
+        for name in names:
+            part = rows.where(F.col("domain") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+            picked = part if picked is None else picked.unionByName(part)
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= sample_bytes)
+        for r in texts.join(F.broadcast(picked), "doc_id").collect():  # sample_rows ids a domain at most
             raw = r["text"].encode()
             f = Features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-            counts[k] += np.bincount(f.index[0], minlength=1 << BITS)
+            counts[names.index(r["domain"])] += np.bincount(f.index[0], minlength=1 << BITS)
     rate = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * (1 << BITS))
     return names, np.log(rate / rate.mean(axis=0)) if names else rate
 
@@ -108,7 +117,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total:
     at random by the row's hash, so that expected totals are the targets. Without labelled domains every
     rate is 1. Texts without words have no tokens and keep rate 1; rows that repeat are mixed each.
     """
-    names, log_rates = fit_domains(labelled)
+    names, log_rates = fit_domains(docs, labelled)
     if not names:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")).cast("long").alias("n_tokens"), F.lit(None).cast("string").alias("domain"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
     scored = materialize(memberships(docs, log_rates), "memberships")

@@ -41,8 +41,8 @@ LANGUAGE_WEIGHTS = {"en": 0.55, "fr": 0.16, "de": 0.16, "es": 0.13}
 
 
 def language_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, domain): the language of the documents that the labelled table covers."""
-    return docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text", docs["lang"].alias("domain"))
+    """(doc_id, domain): the language of the documents that the labelled table covers."""
+    return docs.select("doc_id", docs["lang"].alias("domain")).join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -137,7 +137,7 @@ def test_mixing_that_clips(spark):
 
 def test_mixing_odd(spark):
     docs = frame(spark, odd_docs())
-    labels = docs.selectExpr("doc_id", "text", "if(doc_id % 2 = 0, 'even', null) as domain")
+    labels = docs.selectExpr("doc_id", "if(doc_id % 2 = 0, 'even', null) as domain")
     got = mixing.mix(docs, labels, {"even": 1.0}).collect()
     assert len(got) == len(odd_docs())
     assert mixing.mix(docs, labels.limit(0), {"even": 1.0}).count() == len(odd_docs())
