@@ -22,8 +22,11 @@ from .store import discard, materialize
 from .textgrid import BYTE_CODE, batch_text, mix, pieces, prefix_hash, span_hash, window_ends
 from .wordrepeats import pick, repeated
 
-#: Positions of a bucket in the first round, about; rows of a class in the last that are compared in one place.
+#: Text behind a bucket of the first round; text whose ranks are sorted at a time; rows of a class that are
+#: compared in one place in the last round.
 BUCKET_BYTES = 8_000_000
+SORT_BYTES = 6_000_000
+PIECE_BYTES = 1_000_000
 GROUP_ROWS = 4096
 
 
@@ -71,50 +74,54 @@ def shared_runs(docs: DataFrame, short: int, length: int, buckets: int) -> DataF
         for b in batches:
             data, offs = batch_text(b)
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            parts = []
-            for lo, hi in pieces(offs):
+            parts, held = [], 0
+            for lo, hi in pieces(offs, PIECE_BYTES):
                 r = Runs(data, offs[lo : hi + 1], short, length)
                 parts.append((r.rank, ids[lo:hi][r.doc].astype(np.int64), r.place.astype(np.int32)))
-            if not parts:
-                continue
-            rank, doc, place = map(np.concatenate, zip(*parts, strict=True))
-            order = np.lexsort((doc, rank))
-            rank, doc, place = rank[order], doc[order], place[order]
-            low, high, group = bounds(rank, doc)
-            known = (low < high)[group]
-            ends = np.zeros(len(rank), bool)
-            cuts = np.flatnonzero(np.diff(group, prepend=-1))
-            ends[cuts] = True
-            ends[np.append(cuts[1:], len(rank))[: len(cuts)] - 1] = True
-            go = ~known | ends
-            to = (rank[go] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            to, keep = to[order], [x[go][order] for x in (rank, doc, place)]
-            cut = np.append(np.flatnonzero(np.diff(to, prepend=-1)), len(to))
-            rows = [_pack(*[x[a:e] for x in keep]) for a, e in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([*to[cut[:-1]].tolist(), -1], pa.int64()), pa.array([*rows, doc[known].tobytes() + place[known].tobytes()], pa.binary())], names=["bucket", "load"])
-
-    sent = docs.mapInArrow(spread, "bucket long, load binary")
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        rank, doc, place = map(np.concatenate, zip(*map(_unpack, group["load"]), strict=True))
-        order = np.argsort(rank, kind="stable")
+                held += len(r.data)
+                del r
+                if held >= SORT_BYTES or hi == len(offs) - 1:
+                    yield sorted_ranks(*map(np.concatenate, zip(*parts, strict=True)))
+                    parts, held = [], 0
+
+    def sorted_ranks(rank: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((doc, rank))
         rank, doc, place = rank[order], doc[order], place[order]
-        low, high, of = bounds(rank, doc)
-        hit = (low < high)[of]
-        return pd.DataFrame({"doc_id": doc[hit], "place": place[hit]})
+        low, high, group = bounds(rank, doc)
+        known = (low < high)[group]
+        ends = np.zeros(len(rank), bool)
+        cuts = np.flatnonzero(np.diff(group, prepend=-1))
+        ends[cuts] = True
+        ends[np.append(cuts[1:], len(rank))[: len(cuts)] - 1] = True
+        go = ~known | ends
+        to = (rank[go] % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        to, keep = to[order], [x[go][order] for x in (rank, doc, place)]
+        cut = np.append(np.flatnonzero(np.diff(to, prepend=-1)), len(to))
+        rows = [_pack(*[x[a:e] for x in keep]) for a, e in zip(cut[:-1], cut[1:], strict=True)]
+        rows.append(doc[known].tobytes() + place[known].tobytes())
+        any_bucket = int(rank[0] % np.uint64(buckets)) if len(rank) else 0
+        kind = pa.array([False] * (len(rows) - 1) + [True])
+        return pa.RecordBatch.from_arrays([pa.array([*to[cut[:-1]].tolist(), any_bucket], pa.int64()), kind, pa.array(rows, pa.binary())], names=["bucket", "known", "load"])
 
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for raw in b.column("load").to_pylist():
-                n = len(raw) // 12
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw, np.int64, n)), pa.array(np.frombuffer(raw, np.int32, n, 8 * n))], names=["doc_id", "place"])
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        docs, places = [], []
+        for raw in group["load"][group["known"]]:
+            n = len(raw) // 12
+            docs.append(np.frombuffer(raw, np.int64, n))
+            places.append(np.frombuffer(raw, np.int32, n, 8 * n))
+        asked = [_unpack(raw) for raw in group["load"][~group["known"]]]
+        if asked:
+            rank, doc, place = map(np.concatenate, zip(*asked, strict=True))
+            order = np.argsort(rank, kind="stable")
+            rank, doc, place = rank[order], doc[order], place[order]
+            low, high, of = bounds(rank, doc)
+            hit = (low < high)[of]
+            docs.append(doc[hit])
+            places.append(place[hit])
+        return pd.DataFrame({"doc_id": np.concatenate(docs), "place": np.concatenate(places)})
 
-    sent = materialize(sent, "ranks")
-    met = sent.where("bucket >= 0").groupBy("bucket").applyInPandas(meet, "doc_id long, place int")
-    out = materialize(met.unionByName(sent.where("bucket < 0").select("load").mapInArrow(local, "doc_id long, place int")), "shared")
-    discard(sent)
-    return out
+    return docs.mapInArrow(spread, "bucket long, known boolean, load binary").groupBy("bucket").applyInPandas(meet, "doc_id long, place int")
 
 
 def bounds(rank: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,7 +139,7 @@ def _marked_runs(b: pa.RecordBatch, short: int, length: int, places: str) -> Ite
     ids = b.column("doc_id").to_numpy(zero_copy_only=False)
     lists = b.column(places)
     flat, at = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
-    for lo, hi in pieces(offs):
+    for lo, hi in pieces(offs, PIECE_BYTES):
         r = Runs(data, offs[lo : hi + 1], short, length)
         hit = np.zeros(len(r.data) + 1, bool)
         hit[flat[at[lo] : at[hi]] + np.repeat(r.offs[:-1], np.diff(at[lo : hi + 1]))] = True
@@ -234,7 +241,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 50, group_rows: int = G
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = docs.where(F.col("doc_id").isNotNull())
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    marks = shared_runs(own, short, length, max(1, total // BUCKET_BYTES)).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    shared = materialize(shared_runs(own, short, length, max(1, total // BUCKET_BYTES)), "shared")
+    marks = shared.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     marked = materialize(own.join(materialize(marks, "marks"), "doc_id"), "marked")
     runs = materialize(run_ranks(marked, short, length), "runs")
     classes = materialize(runs.groupBy("g", "s").agg(F.min("doc_id").alias("low")), "classes")
