@@ -16,6 +16,8 @@ from .textgrid import batch_text, pieces
 #: Bounds of the training sample: rows of each label, and bytes of a text in it.
 SAMPLE_ROWS = 2500
 SAMPLE_BYTES = 40_000
+#: Text whose features are made at a time in training.
+TRAIN_BYTES = 500_000
 
 
 @dataclass
@@ -32,20 +34,24 @@ def train(texts: list[bytes], y: np.ndarray, share: np.ndarray, steps: int = 150
     """
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     offs = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    f = Features(data, offs)
-    of_doc = np.repeat(np.arange(len(texts)), np.diff(f.doc))
-    of_word = np.repeat(np.arange(len(f.sentence)), np.diff(np.append(f.sentence, f.index.shape[1])))
-    index, of_sentence = f.index.ravel().astype(np.int64), np.tile(of_word, len(f.index))
+    hold = np.zeros((2, 1 << BITS), np.int32)  # documents of each label that hold a feature
+    parts, owners, n = [], [], 0
+    for lo, hi in pieces(offs, TRAIN_BYTES):
+        f = Features(data, offs[lo : hi + 1])
+        for k, (a, e) in enumerate(zip(f.grid.first[:-1], f.grid.first[1:], strict=True)):
+            hold[y[lo + k], np.unique(f.index[:, a:e])] += 1
+        of_word = n + np.repeat(np.arange(len(f.sentence), dtype=np.int32), np.diff(np.append(f.sentence, f.index.shape[1])))
+        parts.append((f.index, of_word))
+        owners.append(lo + np.repeat(np.arange(hi - lo), np.diff(f.doc)))
+        n += len(f.sentence)
+    of_doc = np.concatenate(owners)
     # what a few documents hold can't be told from those documents; what clean ones hold as often says nothing
-    pairs = np.unique(of_doc[of_sentence] * (1 << BITS) + index)
-    hold = [np.bincount(pairs[y[pairs >> BITS] == c] & ((1 << BITS) - 1), minlength=1 << BITS) for c in (0, 1)]
-    common = (hold[1] >= least) & (hold[1] / (y == 1).sum() > lift * (hold[0] + 0.5) / (y == 0).sum())
-    keep = common[index]
-    names, index = np.unique(index[keep], return_inverse=True)
-    of_sentence = of_sentence[keep]
+    common = (hold[1] >= least) & (hold[1] / max(1, (y == 1).sum()) > lift * (hold[0] + 0.5) / max(1, (y == 0).sum()))
+    places = [np.nonzero(common[index]) for index, _ in parts]
+    of_sentence = np.concatenate([of_word[w] for (_, of_word), (_, w) in zip(parts, places, strict=True)]).astype(np.int64)
+    names, index = np.unique(np.concatenate([index[at] for (index, _), at in zip(parts, places, strict=True)]), return_inverse=True)
     w, b = np.zeros(len(names)), bias
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
-    n = len(f.sentence)
     for t in range(1, steps + 1):
         z = b + np.bincount(of_sentence, w[index], n)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
