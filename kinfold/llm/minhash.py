@@ -8,13 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .graph import components
 from .store import materialize
 from .textgrid import Grid, batch_text, mix, pieces
 
 UNIVERSE_BITS = 20
+BLOCK = 512
 _MULT = np.uint64(0xD1342543DE82EF95)
 
 
@@ -32,7 +32,7 @@ def shingle_sets(grid: Grid, width: int) -> Iterator[np.ndarray]:
         elif b > a:
             short = np.uint64(b - a)
             for x in h[a:b]:
-                short = mix(np.array([short * _MULT + x]))[0]
+                short = mix(np.array([short]) * _MULT + np.array([x]))[0]
             yield np.array([short])
         else:
             yield h[:0]
@@ -106,14 +106,67 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return common.where(100 * F.col("n") >= percent * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
 
 
+def linked_blocks(percent: int):
+    """For two blocks (id, component, shingles): a link for each two components of which members are linked."""
+
+    def dense(rows: np.ndarray, cols: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+        out = np.zeros(shape, np.float32)
+        out[rows, cols] = 1
+        return out
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sides = []
+        for t in (left, right):
+            t = t.rename_columns(["family", "l", "r", "id", "component", "shingles"])
+            lists = t.column("shingles").combine_chunks()
+            size = np.asarray(lists.value_lengths())
+            sides.append((np.asarray(t.column("id")), np.asarray(t.column("component")), size, np.repeat(np.arange(len(size)), size), np.asarray(lists.flatten())))
+        (ida, ca, na, ra, sa), (idb, cb, nb, rb, sb) = sides
+        both = np.intersect1d(sa, sb)
+        common = np.zeros((len(ida), len(idb)), np.float32)
+        for k in range(0, len(both), 4096):
+            part = both[k : k + 4096]
+            own = []
+            for r, s, n in ((ra, sa, len(ida)), (rb, sb, len(idb))):
+                at = np.minimum(np.searchsorted(part, s), len(part) - 1)
+                hit = part[at] == s
+                own.append(dense(r[hit], at[hit], (n, len(part))))
+            common += own[0] @ own[1].T
+        n = common.astype(np.int64)
+        i, j = np.nonzero((100 * n >= percent * (na[:, None] + nb[None, :] - n)) & (ca[:, None] != cb[None, :]))
+        _, once = np.unique(np.stack([ca[i], cb[j]], axis=1), axis=0, return_index=True) if len(i) else (None, np.zeros(0, np.int64))
+        return pa.table({"a": pa.array(ida[i[once]], pa.int64()), "b": pa.array(idb[j[once]], pa.int64())})
+
+    return run
+
+
+def cross_links(families: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links between the components of a family: all members outside its largest component against all its
+    members, in blocks of about `block` by `block` rows. families, comp: (id, component_id)."""
+    member = families.select("id", F.col("component_id").alias("family")).join(comp.withColumnRenamed("component_id", "component"), "id", "left")
+    member = member.withColumn("component", F.coalesce("component", "id"))
+    sized = member.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    shape = sized.groupBy("family").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main"))
+    blocks = lambda n: F.ceil(n / F.lit(float(block))).cast("int")
+    shape = shape.where("all > main.n").select("family", F.col("main.component").alias("main"), blocks(F.col("all") - F.col("main.n")).alias("nl"), blocks(F.col("all")).alias("nr"))
+    rows = materialize(member.join(materialize(shape, "families"), "family"), "members").join(sets.withColumnRenamed("doc_id", "id"), "id")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.where("component <> main").withColumn("l", own("nl")).withColumn("r", every("nr")).select("family", "l", "r", "id", "component", "shingles")
+    right = rows.withColumn("r", own("nr")).withColumn("l", every("nl")).select("family", "l", "r", "id", "component", "shingles")
+    left, right = left.toDF(*[f"{c}1" for c in left.columns]), right.toDF(*[f"{c}2" for c in right.columns])
+    met = left.groupBy("family1", "l1", "r1").cogroup(right.groupBy("family2", "l2", "r2")).applyInArrow(linked_blocks(percent), "a long, b long")
+    return materialize(met, "links")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, bands: int = 20, rows: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Rows with equal shingle sets form a class, of which the smallest doc_id alone is compared with others.
     Members of a bucket are verified against the bucket's smallest member first; what that links is
-    contracted. Buckets that still hold several components are compared further, member by member in
-    slices that double, until each pair of a bucket is linked, verified or in one component: no bucket's
-    pairs are all made unless its members are unlike. At 85 percent, 20 bands of 4 coordinates miss a link
+    contracted. Classes that buckets tie together are a family. Where a family still has several
+    components, its members outside the largest one meet all its members in blocks, on full sets, and a
+    link is given for two components, not for each pair. At 85 percent, 20 bands of 4 coordinates miss a link
     with a chance of about 4e-7.
 
     Texts without words are linked with nothing. A null text counts as empty; rows with a null doc_id are
@@ -137,25 +190,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, bands: i
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
     sets = materialize(full_sets(texts, width), "sets")
 
-    pairs = bucket.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = materialize(bucket.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = materialize(verified(pairs, sets, percent), "verified")
     comp = materialize(components(links), "components")
-    low = 1
-    while True:
-        labelled = bucket.join(comp, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-        mixed = labelled.groupBy("key").agg(F.min("component_id").alias("lo"), F.max("component_id").alias("hi")).where("lo < hi").select("key")
-        # places of the members in a bucket that is not one component; those below `low` have met all others
-        place = F.row_number().over(Window.partitionBy("key").orderBy("id"))
-        rest = materialize(labelled.join(mixed, "key").select("key", "id", "component_id").withColumn("place", place), "rest")
-        if not rest.where(F.col("place") > low + 1).limit(1).count():
-            break
-        lead = rest.where((F.col("place") > low) & (F.col("place") <= 2 * low)).select("key", F.col("id").alias("a"), F.col("component_id").alias("ca"))
-        more = lead.join(rest.select("key", F.col("id").alias("b"), F.col("component_id").alias("cb")), "key").where("a < b and ca <> cb").select("a", "b").distinct()
-        links = links.unionByName(materialize(verified(more, sets, percent), "verified"))
-        comp = materialize(components(links), "components")
-        low *= 2
+    links = links.unionByName(cross_links(components(pairs), comp, sets, percent))
+    comp = materialize(components(links), "components")
 
     of_class = classes.select("digest", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
-    own = F.coalesce("component_id", "doc_id")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("doc_id"), F.lit(True)).alias("kept"))
