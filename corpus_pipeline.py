@@ -29,7 +29,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced by a mark; no document goes."""
-    return secrets.redact(docs, secrets.train_forest(secrets.labelled_findings(spark)))
+    keys, values = secrets.train_forest(secrets.labelled_findings(spark)), secrets.train_values(secrets.assigned_findings(spark))
+    return secrets.redact(docs, keys, values_forest=values)
 
 
 def mix_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

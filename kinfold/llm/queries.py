@@ -51,7 +51,8 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"), secrets.train_forest(secrets.labelled_findings(spark)))
+    keys, values = secrets.train_forest(secrets.labelled_findings(spark)), secrets.train_values(secrets.assigned_findings(spark))
+    return secrets.scan(table(spark, sf_dir, "documents"), keys, values_forest=values)
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
