@@ -302,6 +302,18 @@ def fn02_levenshtein_similarity(spark, sf_dir):
     return both.select("a", "b", F.levenshtein("a", "b").alias("d"), F.round(LevenshteinSimilarity(3, 10).column(F.col("a"), F.col("b")), 6).alias("sim"))
 
 
+@query(f"""with er as ({ER}), own as (select p_partkey, p_name as a, a0 as b from part join er on er.rec_id = cast(p_partkey as varchar(20)))
+    select p_partkey, a, b, levenshtein(a, b)::int as d,
+    round(greatest(0.0::double, 10.0::double / 7 * (10.0::double * (1 - 2.0::double * levenshtein(a, b) / (length(a) + length(b) + levenshtein(a, b))) - 3)), 6) as sim
+    from own""")
+def fn02_levenshtein_typos(spark, sf_dir):
+    """The functions over every part: its name against the name with typos."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.col("p_name").alias("a"))
+    typos = records(spark, sf_dir).select(F.col("rec_id").cast(part.schema["p_partkey"].dataType).alias("p_partkey"), F.col("a0").alias("b"))
+    both = part.join(typos, "p_partkey")
+    return both.select("p_partkey", "a", "b", F.levenshtein("a", "b").alias("d"), F.round(LevenshteinSimilarity(3, 10).column(F.col("a"), F.col("b")), 6).alias("sim"))
+
+
 @query(f"with {BASE} select attr_id, file_id, 0.2::double as theta from (select distinct attr_id, file_id from cells)")
 def fn11_prior_theta(spark, sf_dir):
     return R.prior_theta(R.file_sizes(cells(spark, sf_dir)), ATTRIBUTES)
