@@ -464,7 +464,10 @@ def pt02_kdtree_leaf_sizes(spark, sf_dir):
 @query()
 def pt06_lpt_bins(spark, sf_dir):
     """Brands dealt to 4 bins by size."""
-    jobs = [(r["p_brand"], float(r["count"])) for r in spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_brand").count().limit(10_000).collect()]
+    most = 10_000
+    jobs = [(r["p_brand"], float(r["count"])) for r in spark.read.parquet(f"{sf_dir}/part.parquet").groupBy("p_brand").count().limit(most + 1).collect()]
+    if len(jobs) > most:
+        raise ValueError(f"there are more than {most} brands")
     sizes = dict(jobs)
     return spark.createDataFrame([(k, sizes[k], b) for k, b in lpt_schedule(jobs, 4).items()], "job string, size double, bin int")
 
