@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ from .hashedwords import BITS, Features, group_sums
 from .store import materialize
 from .textgrid import Grid, batch_text, pieces
 
-#: Bounds of the training sample: labelled rows of each domain, bytes of a text in it, domains.
+#: Bounds of the training sample: labelled rows of each domain, first bytes of a text in it, domains.
 SAMPLE_ROWS = 400
 SAMPLE_BYTES = 40_000
 DOMAINS = 64
@@ -21,28 +21,39 @@ SHARPNESS = 12.0
 ROUNDS = 8
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
+def fit_domains(docs: DataFrame, labelled: DataFrame, weighted: Iterable[str] = (), sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
     """Domains and their smoothed log word rates, from a bounded sample of the documents that labelled
     (doc_id, domain) names.
 
-    Each domain's rows of least id hash are learnt from; null ids and domains, null texts and texts over
-    sample_bytes aren't. Texts are read for the sample's ids only.
+    The domains are those of all labelled rows of docs with an id and a domain. Each domain's rows with words of
+    least id hash are learnt from, a text over sample_bytes by the whole words of its first sample_bytes. A domain
+    of weighted without such a row is an error, unless docs has no labelled row at all; one without weight is left
+    out. Texts are read for the sample's ids only.
     """
-    fit = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(F.col("text").cast("string")).alias("size")).where(F.col("size") <= sample_bytes).select("doc_id")
+    worded = F.coalesce(F.col("text").cast("string").rlike(r"[^ \t\n\x0B\f\r]"), F.lit(False))
+    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), worded.alias("usable"))
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain")).where("doc_id is not null and domain is not null")
-    rows = materialize(rows.join(fit, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("domain").alias("domain")), "labelled")
-    names = sorted(r["domain"] for r in rows.select("domain").distinct().limit(DOMAINS + 1).collect())
-    if len(names) > DOMAINS:
+    rows = materialize(rows.groupBy("doc_id").agg(F.min("domain").alias("domain")).join(usable, "doc_id").groupBy("doc_id", "domain").agg(F.max("usable").alias("usable")), "labelled")
+    found = {r["domain"]: r["usable"] for r in rows.groupBy("domain").agg(F.max("usable").alias("usable")).limit(DOMAINS + 1).collect()}
+    if len(found) > DOMAINS:
         raise ValueError(f"more than {DOMAINS} domains")
+    names = sorted(d for d, u in found.items() if u)
+    lost = sorted(set(weighted) - set(names))
+    if found and lost:
+        raise ValueError(f"no labelled text to learn these weighted domains from: {', '.join(lost)}")
     counts = np.zeros((len(names), 1 << BITS), np.float64)
     if names:
         picked = None
         for name in names:
-            part = rows.where(F.col("domain") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+            part = rows.where((F.col("domain") == name) & F.col("usable")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
             picked = part if picked is None else picked.unionByName(part)
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= sample_bytes)
+        head = F.substring(F.col("text").cast("string").cast("binary"), 1, sample_bytes + 1)
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), head.alias("head")).where("head is not null")
         for r in texts.join(F.broadcast(picked), "doc_id").collect():  # sample_rows ids a domain at most
-            raw = r["text"].encode()
+            raw = bytes(r["head"])
+            if len(raw) > sample_bytes:
+                end = max(raw.rfind(c) for c in b" \t\n\v\f\r")
+                raw = raw[: end if end > 0 else sample_bytes]
             f = Features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
             counts[names.index(r["domain"])] += np.bincount(f.index[0], minlength=1 << BITS)
     rate = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * (1 << BITS))
@@ -113,11 +124,11 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], total:
     """doc_id, n_tokens, domain (of largest posterior), posterior, rate, copies for every row of docs.
 
     weights: target share of each domain's tokens, scaled to sum 1; domains of the labelled table that
-    have no weight get 0. total: tokens to reach, by default those there are. copies is the rate rounded
+    have no weight get 0, and a weighted domain without a labelled text is an error. total: tokens to reach, by default those there are. copies is the rate rounded
     at random by the row's hash, so that expected totals are the targets. Without labelled domains every
     rate is 1. Texts without words have no tokens and keep rate 1; rows that repeat are mixed each.
     """
-    names, log_rates = fit_domains(docs, labelled)
+    names, log_rates = fit_domains(docs, labelled, [d for d, x in weights.items() if x > 0])
     if not names:
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")).cast("long").alias("n_tokens"), F.lit(None).cast("string").alias("domain"), F.array().cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
     scored = materialize(memberships(docs, log_rates), "memberships")
