@@ -68,7 +68,7 @@ def encode_pgm(samples: np.ndarray) -> bytes:
 
 
 def decode_bmp(raw: bytes) -> np.ndarray:
-    """Uncompressed BMP of 8 (palette), 24 or 32 bits to (height, width, 3) RGB."""
+    """Uncompressed BMP of 1, 4, 8 (palette), 16, 24 or 32 bits, with channel masks where it has them, to (height, width, 3) RGB."""
     if raw[:2] != b"BM":
         raise ValueError("not a BMP image")
     at = int.from_bytes(raw[10:14], "little")
@@ -76,17 +76,28 @@ def decode_bmp(raw: bytes) -> np.ndarray:
     width = int.from_bytes(raw[18:22], "little", signed=True)
     height = int.from_bytes(raw[22:26], "little", signed=True)
     bits, packed = int.from_bytes(raw[28:30], "little"), int.from_bytes(raw[30:34], "little")
-    if packed not in (0, 3) or bits not in (8, 24, 32):
+    if head < 40 or bits not in (1, 4, 8, 16, 24, 32) or not (packed == 0 or packed == 3 and bits in (16, 32)):
         raise ValueError("BMP kind not supported")
-    stride = (width * bits // 8 + 3) // 4 * 4
+    stride = (width * bits + 31) // 32 * 4
     rows = np.frombuffer(raw, np.uint8, stride * abs(height), at).reshape(abs(height), stride)
     rows = rows[::-1] if height > 0 else rows
-    cells = rows[:, : width * bits // 8].reshape(abs(height), width, bits // 8)
-    if bits == 8:
-        used = int.from_bytes(raw[46:50], "little") or 256
+    if bits <= 8:
+        used = int.from_bytes(raw[46:50], "little") or 1 << bits
         palette = np.frombuffer(raw, np.uint8, used * 4, 14 + head).reshape(-1, 4)
-        return palette[cells[..., 0]][..., 2::-1].copy()
-    return cells[..., 2::-1].copy()
+        if bits < 8:
+            single = np.unpackbits(rows, axis=1).reshape(abs(height), stride * 8 // bits, bits)
+            rows = np.packbits(single, axis=2)[..., 0] >> (8 - bits)
+        return palette[rows[:, :width]][..., 2::-1].copy()
+    if bits == 24:
+        return rows[:, : width * 3].reshape(abs(height), width, 3)[..., ::-1].copy()
+    masks = np.frombuffer(raw, "<u4", 3, 54) if packed == 3 else [0x7C00, 0x3E0, 0x1F] if bits == 16 else [0xFF0000, 0xFF00, 0xFF]
+    cells = np.ascontiguousarray(rows).view("<u2" if bits == 16 else "<u4")[:, :width].astype(np.int64)
+    out = np.zeros((abs(height), width, 3), np.uint8)
+    for k, m in enumerate(map(int, masks)):
+        low = m & -m
+        if m:
+            out[..., k] = np.rint((cells & m) // low * 255 / (m // low))
+    return out
 
 
 def encode_bmp(rgb: np.ndarray) -> bytes:
