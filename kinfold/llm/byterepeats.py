@@ -1,11 +1,4 @@
-"""Substring dedup over bytes by prefix doubling on sampled positions.
-
-A position's rank at a length names its class among all positions with the same bytes of that length;
-ranks are fingerprints, so that a rank at a longer length follows from the text at the position without a
-lookup. Rounds look at growing lengths: the short prefix that stands for a run of windows, then the whole
-run, then single windows. A class that one document alone holds leaves; runs whose class has an earlier
-document are settled; only what is left goes on.
-"""
+"""Substring dedup over bytes by distributed prefix doubling."""
 
 from __future__ import annotations
 
@@ -13,251 +6,55 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import discard, materialize
-from .textgrid import BYTE_CODE, batch_text, mix, pieces, prefix_hash, span_hash, window_ends
-from .wordrepeats import pick, repeated
-
-#: Text behind a bucket of the first round; text whose ranks are sorted at a time; rows of a class that are
-#: compared in one place in the last round.
-BUCKET_BYTES = 8_000_000
-SORT_BYTES = 6_000_000
-PIECE_BYTES = 1_000_000
-GROUP_ROWS = 4096
-
-
-class Runs:
-    """Runs of neighbouring windows with one short prefix standing for them: start, windows, rank, document."""
-
-    def __init__(self, data: np.ndarray, offs: np.ndarray, short: int, length: int):
-        self.data = data = data[offs[0] : offs[-1]]
-        self.offs = offs = offs - offs[0]
-        self.length = length
-        self.prefix = prefix_hash(BYTE_CODE[data])
-        n = max(0, len(data) - short + 1)
-        h = span_hash(self.prefix, np.arange(n), short)
-        starts, at = pick(h, window_ends(offs, short), window_ends(offs, length), length - short + 1)
-        fresh = np.ones(len(starts), bool)
-        fresh[1:] = (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1)
-        first = np.flatnonzero(fresh)
-        self.start, self.windows = starts[first], np.diff(np.append(first, len(starts)))
-        self.at, self.rank = at[first], h[at[first]]
-        self.doc = np.searchsorted(offs, self.start, "right") - 1
-        self.place = self.start - offs[self.doc]
-
-    def whole(self, k: np.ndarray) -> np.ndarray:
-        """Rank of all the bytes of the runs k, with the place of their short prefix."""
-        return mix(span_hash(self.prefix, self.start[k], self.windows[k] + self.length - 1) ^ mix((self.at[k] - self.start[k] + 1).astype(np.uint64)))
+from .doubling import BLOCK_BYTES, BUCKET_BYTES, read_blocks, repeated_windows, to_blocks
+from .store import materialize
 
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
-def _pack(rank: np.ndarray, doc: np.ndarray, place: np.ndarray) -> bytes:
-    return np.uint64(len(rank)).tobytes() + rank.tobytes() + doc.tobytes() + place.tobytes()
 
-
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(raw, np.uint64, 1)[0])
-    return np.frombuffer(raw, np.uint64, n, 8), np.frombuffer(raw, np.int64, n, 8 + 8 * n), np.frombuffer(raw, np.int32, n, 8 + 16 * n)
-
-
-def shared_runs(docs: DataFrame, short: int, length: int, buckets: int) -> DataFrame:
-    """(doc_id, place) of the runs whose short prefix several documents hold.
-
-    Each batch sorts its ranks. Those that it sees in several documents are answered at once, and their
-    smallest and largest document alone go on, so a bucket gets two rows of a batch for a rank at most.
-    """
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offs = batch_text(b)
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            parts, held = [], 0
-            for lo, hi in pieces(offs, PIECE_BYTES):
-                r = Runs(data, offs[lo : hi + 1], short, length)
-                parts.append((r.rank, ids[lo:hi][r.doc].astype(np.int64), r.place.astype(np.int32)))
-                held += len(r.data)
-                del r
-                if held >= SORT_BYTES or hi == len(offs) - 1:
-                    yield sorted_ranks(*map(np.concatenate, zip(*parts, strict=True)))
-                    parts, held = [], 0
-
-    def sorted_ranks(rank: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((doc, rank))
-        rank, doc, place = rank[order], doc[order], place[order]
-        low, high, group = bounds(rank, doc)
-        known = (low < high)[group]
-        ends = np.zeros(len(rank), bool)
-        cuts = np.flatnonzero(np.diff(group, prepend=-1))
-        ends[cuts] = True
-        ends[np.append(cuts[1:], len(rank))[: len(cuts)] - 1] = True
-        go = ~known | ends
-        to = (rank[go] % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        to, keep = to[order], [x[go][order] for x in (rank, doc, place)]
-        cut = np.append(np.flatnonzero(np.diff(to, prepend=-1)), len(to))
-        rows = [_pack(*[x[a:e] for x in keep]) for a, e in zip(cut[:-1], cut[1:], strict=True)]
-        rows.append(doc[known].tobytes() + place[known].tobytes())
-        any_bucket = int(rank[0] % np.uint64(buckets)) if len(rank) else 0
-        kind = pa.array([False] * (len(rows) - 1) + [True])
-        return pa.RecordBatch.from_arrays([pa.array([*to[cut[:-1]].tolist(), any_bucket], pa.int64()), kind, pa.array(rows, pa.binary())], names=["bucket", "known", "load"])
-
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        docs, places = [], []
-        for raw in group["load"][group["known"]]:
-            n = len(raw) // 12
-            docs.append(np.frombuffer(raw, np.int64, n))
-            places.append(np.frombuffer(raw, np.int32, n, 8 * n))
-        asked = [_unpack(raw) for raw in group["load"][~group["known"]]]
-        if asked:
-            rank, doc, place = map(np.concatenate, zip(*asked, strict=True))
-            order = np.argsort(rank, kind="stable")
-            rank, doc, place = rank[order], doc[order], place[order]
-            low, high, of = bounds(rank, doc)
-            hit = (low < high)[of]
-            docs.append(doc[hit])
-            places.append(place[hit])
-        return pd.DataFrame({"doc_id": np.concatenate(docs), "place": np.concatenate(places)})
-
-    return docs.mapInArrow(spread, "bucket long, known boolean, load binary").groupBy("bucket").applyInPandas(meet, "doc_id long, place int")
-
-
-def bounds(rank: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Smallest and largest document of each rank (sorted), and each row's group."""
-    fresh = np.diff(rank, prepend=~rank[:1]) != 0
-    cuts = np.flatnonzero(fresh)
-    if not len(cuts):
-        return doc, doc, np.zeros(0, np.int64)
-    return np.minimum.reduceat(doc, cuts), np.maximum.reduceat(doc, cuts), np.cumsum(fresh) - 1
-
-
-def _marked_runs(b: pa.RecordBatch, short: int, length: int, places: str) -> Iterator[tuple[Runs, np.ndarray, np.ndarray]]:
-    """(runs, which of them the column of places names, the documents' ids) by piece of a batch."""
-    data, offs = batch_text(b)
-    ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-    lists = b.column(places)
-    flat, at = np.asarray(lists.flatten()), np.concatenate([[0], np.cumsum(np.asarray(lists.value_lengths()))])
-    for lo, hi in pieces(offs, PIECE_BYTES):
-        r = Runs(data, offs[lo : hi + 1], short, length)
-        hit = np.zeros(len(r.data) + 1, bool)
-        hit[flat[at[lo] : at[hi]] + np.repeat(r.offs[:-1], np.diff(at[lo : hi + 1]))] = True
-        k = np.flatnonzero(hit[r.start])
-        yield r, k, ids[lo:hi][r.doc[k]].astype(np.int64)
-
-
-def run_ranks(marked: DataFrame, short: int, length: int) -> DataFrame:
-    """(g, s, doc_id, place, n): ranks of the short prefix and of the whole run, of the marked runs."""
+def strip_bytes(blocks: DataFrame, length: int) -> DataFrame:
+    """One row a document of the blocks; gone: an array of (home, place, n), n neighbouring windows from a place on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r, k, ids in _marked_runs(b, short, length, "places"):
-                yield pa.RecordBatch.from_arrays([pa.array(r.rank[k].view(np.int64)), pa.array(r.whole(k).view(np.int64)), pa.array(ids), pa.array(r.place[k].astype(np.int32)), pa.array(r.windows[k].astype(np.int32))], names=["g", "s", "doc_id", "place", "n"])
-
-    return marked.select("doc_id", "text", "places").mapInArrow(run, "g long, s long, doc_id long, place int, n int")
-
-
-def run_bytes(marked: DataFrame, short: int, length: int) -> DataFrame:
-    """(g, doc_id, place, n, raw): the bytes of the runs that the column open names."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r, k, ids in _marked_runs(b, short, length, "open"):
-                raw = r.data.tobytes()
-                parts = [raw[s : s + n + length - 1] for s, n in zip(r.start[k].tolist(), r.windows[k].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(r.rank[k].view(np.int64)), pa.array(ids), pa.array(r.place[k].astype(np.int32)), pa.array(r.windows[k].astype(np.int32)), pa.array(parts, pa.binary())], names=["g", "doc_id", "place", "n", "raw"])
-
-    return marked.select("doc_id", "text", "open").mapInArrow(run, "g long, doc_id long, place int, n int, raw binary")
-
-
-def windows_by_class(rows: DataFrame, length: int) -> DataFrame:
-    """(doc_id, place, n): windows that an earlier document of the same class holds; rows of a class come in order of documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen = None, {}
-        for b in batches:
-            docs, places = [], []
-            for g, d, p, n, raw in zip(*[b.column(c).to_pylist() for c in ("g", "doc_id", "place", "n", "raw")], strict=True):
-                if g != now:
-                    now, seen = g, {}
-                for i in range(n):
-                    if seen.setdefault(raw[i : i + length], d) < d:
-                        docs.append(d)
-                        places.append(p + i)
-            d, p = np.array(docs, np.int64), np.array(places, np.int64)
-            cut = np.flatnonzero((np.diff(d, prepend=-1) != 0) | (np.diff(p, prepend=-2) != 1)) if len(d) else np.zeros(0, np.int64)
-            n = np.diff(np.append(cut, len(d)))
-            yield pa.RecordBatch.from_arrays([pa.array(d[cut]), pa.array(p[cut].astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "place", "n"])
-
-    return rows.repartition("g").sortWithinPartitions("g", "doc_id", "place").mapInArrow(run, "doc_id long, place int, n int")
-
-
-def windows_by_row(rows: DataFrame, length: int) -> DataFrame:
-    """The same for classes of any size: a row a window, minima before the shuffle."""
-    i = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    one = rows.select("doc_id", "place", "raw", i.alias("i")).select("doc_id", (F.col("place") + F.col("i")).cast("int").alias("place"), F.expr(f"substring(raw, i + 1, {length})").alias("w"))
-    one = one.select("doc_id", "place", F.xxhash64("w").alias("h"), F.xxhash64(F.reverse(F.hex("w"))).alias("h2"))
-    low = materialize(repeated(one, ["h", "h2"]), "low")
-    return one.join(low, ["h", "h2"]).where("low < doc_id").select("doc_id", "place", F.lit(1).alias("n"))
-
-
-def strip_bytes(docs: DataFrame, length: int, marked: bool) -> DataFrame:
-    """n_bytes, n_removed, n_spans, kept_sha256; marked: gone holds (place, n), n neighbouring windows from a place on."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offs = batch_text(b)
-            gone = b.column("gone").to_pylist() if marked else None
-            cols: list[list] = [[], [], [], []]
-            for k in range(len(offs) - 1):
-                own = data[offs[k] : offs[k + 1]]
-                removed = spans = 0
-                if marked and gone[k]:
-                    step = np.zeros(len(own) + 1, np.int32)
-                    at = np.array([x["place"] for x in gone[k]])
-                    np.add.at(step, at, 1)
-                    np.add.at(step, at + np.array([x["n"] for x in gone[k]]) + length - 1, -1)
-                    cover = np.cumsum(step[:-1]) > 0
-                    removed = int(cover.sum())
-                    spans = int((np.diff(cover.astype(np.int8), prepend=0) == 1).sum())
-                    own = own[~cover]
-                for c, v in zip(cols, (int(offs[k + 1] - offs[k]), removed, spans, hashlib.sha256(own.tobytes()).hexdigest()), strict=True):
-                    c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return docs.select("doc_id", "text", *["gone"] * marked).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-
-
-def remove_repeated_bytes(docs: DataFrame, length: int = 50, group_rows: int = GROUP_ROWS) -> DataFrame:
+            for i, block in read_blocks(b, length):
+                offs = block.offs
+                step = np.zeros(len(block.data) + 1, np.int32)
+                for span in b.column("gone")[i].as_py() or []:
+                    home, place, n = (np.array(span[c], np.int64) for c in ("gone_home", "gone_place", "gone_n"))
+                    np.add.at(step, offs[home] + place, 1)
+                    np.add.at(step, offs[home] + place + n + length - 1, -1)
+                gone = np.cumsum(step[:-1]) > 0
+                opens = gone.copy()
+                opens[1:] &= ~gone[:-1]
+                starts = offs[:-1][block.size > 0]
+                opens[starts] = gone[starts]
+                before, spans = (np.concatenate([[0], np.cumsum(x)]) for x in (gone, opens))
+                kept, at = block.data[~gone].tobytes(), offs - before[offs]
+                digests = [hashlib.sha256(kept[x:y]).hexdigest() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                columns = [block.doc, block.size.astype(np.int64), np.diff(before[offs]), np.diff(spans[offs])]
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return blocks.mapInArrow(run, OUT)
+
+
+def remove_repeated_bytes(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: each byte goes that a string of `length` bytes covers
     which also starts in a document with a smaller doc_id.
 
     Null texts are empty. Rows with a null doc_id lose nothing and cause nothing; rows that repeat a doc_id
     are one document for the comparison, and each gets an answer of its own.
     """
-    short = max(1, length // 3)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = docs.where(F.col("doc_id").isNotNull())
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shared = materialize(shared_runs(own, short, length, max(1, total // BUCKET_BYTES)), "shared")
-    marks = shared.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    marked = materialize(own.join(materialize(marks, "marks"), "doc_id"), "marked")
-    runs = materialize(run_ranks(marked, short, length), "runs")
-    classes = materialize(runs.groupBy("g", "s").agg(F.min("doc_id").alias("low")), "classes")
-    ranked = materialize(runs.join(classes, ["g", "s"]), "ranked")
-    discard(runs)
-    covered = ranked.where("low < doc_id").select("doc_id", "place", "n")
-    unlike = classes.groupBy("g").agg(F.min("low").alias("a"), F.max("low").alias("b"), F.count(F.lit(1)).alias("m")).where("a < b").select("g", "m")
-    rest = ranked.where("low = doc_id").join(materialize(unlike, "unlike"), "g")
-    todo = rest.groupBy("doc_id").agg(F.collect_set("place").alias("open"))
-    open_runs = materialize(run_bytes(marked.select("doc_id", "text").join(materialize(todo, "todo"), "doc_id"), short, length), "open")
-    large = materialize(open_runs.groupBy("g").count().where(F.col("count") > group_rows).select("g"), "large")
-    few = windows_by_class(open_runs.join(large, "g", "left_anti"), length)
-    many = windows_by_row(open_runs.join(large, "g", "left_semi"), length)
-    gone = covered.unionByName(few).unionByName(many).groupBy("doc_id").agg(F.collect_list(F.struct("place", "n")).alias("gone"))
-    gone = materialize(gone, "gone")
-    touched = strip_bytes(marked.select("doc_id", "text").join(gone, "doc_id", "left"), length, True)
-    rest = strip_bytes(docs, length, False).join(marked.select("doc_id").distinct(), "doc_id", "left_anti")
-    return rest.unionByName(touched)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    blocks = materialize(to_blocks(docs.where(F.col("doc_id").isNotNull()), block_bytes), "blocks", "zstd")
+    total = blocks.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    first, last = repeated_windows(blocks, length, 1 + total // BUCKET_BYTES)
+    gone = first.unionByName(last).groupBy("block").agg(F.collect_list(F.struct("gone_home", "gone_place", "gone_n")).alias("gone"))
+    out = strip_bytes(blocks.join(gone, "block", "left"), length)
+    nameless = docs.where(F.col("doc_id").isNull()).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
+    return out.unionByName(nameless)

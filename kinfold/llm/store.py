@@ -2,51 +2,34 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-_own: dict[str, str] = {}
+from kinfold.sources.tables import remove, shared_dir
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset (tests), a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="kinfold-")
-    return "file://" + _own[app]
 
-
-def materialize(df: DataFrame, name: str = "t") -> DataFrame:
+def materialize(df: DataFrame, name: str = "t", compression: str = "snappy") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back.
 
-    Later stages, and retries after a lost executor, start from these files. The written
-    shuffle files of df are then garbage; a collection lets Spark's cleaner delete them.
+    Later stages, and retries after a lost executor, start from these files. The shuffle files of df are
+    garbage once it is written, and Spark deletes them then.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/kinfold-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    release(spark)  # of the steps before
-    df.write.parquet(path)
-    del df
-    release(spark)
-    return spark.read.schema(schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets go of tables that nothing refers to, so that Spark's cleaner deletes their shuffle files."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def discard(df: DataFrame) -> None:
-    """Removes the files of a table of materialize() that nothing still to run reads."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes the files of tables of materialize() that nothing still to run reads."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            remove(df.sparkSession, folder)
