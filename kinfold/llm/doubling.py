@@ -6,7 +6,7 @@ buckets, a bucket sorts the keys of all blocks and answers, and the blocks keep
 * sieve rounds, on sampled positions: equal windows have equal least hashes of the shorter strings inside,
   and windows whose least hash no other document holds leave. A sieve errs on the side of keeping;
 * settling: neighbouring windows with one least hash are a run. A run that an earlier document holds whole
-  goes at once, and runs whose like all come from one first document have nothing earlier;
+  goes at once. Its windows all start in that document too, whose own run stays, so nothing is lost;
 * doubling, on all positions left: pairs (rank, rank at the growing offset) are sorted and ranked anew,
   from the bytes themselves up to the window's length. What one document alone holds leaves.
 
@@ -16,6 +16,7 @@ bucket one row a block.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -35,7 +36,7 @@ SCHEMA = "block long, raw binary, size array<int>, doc array<long>, home array<i
 #: Spans that go: the row of the block's first table, the first window's place in it, and how many windows.
 GONE = "gone_home array<int>, gone_place array<int>, gone_n array<int>"
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-_LOW32 = np.uint64(0xFFFFFFFF)
+_LOW32, _29, _32 = np.uint64(0xFFFFFFFF), np.uint64(29), np.uint64(32)
 
 
 @dataclass
@@ -119,33 +120,57 @@ class Fingerprints:
     """Two 64-bit hashes of the strings from each place on, at lengths that double from `short`."""
 
     def __init__(self, data: np.ndarray, short: int):
-        a, b = grams(data, short)
-        self.short = short
-        self.lanes = [[mix(a * _K[k] ^ mix(b + _K[k + 1])) for k in (0, 2)]]
-
-    def level(self, k: int) -> list[np.ndarray]:
-        while len(self.lanes) <= k:
-            step = self.short << len(self.lanes) - 1
-            now = []
-            for c, h in enumerate(self.lanes[-1]):
-                out = mix(h * _K[4] + _K[c])
-                out[: max(0, len(h) - step)] += h[step:]
-                now.append(mix(out))
-            self.lanes.append(now)
-        return self.lanes[k]
-
-    def of(self, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits for each of the strings (of `short` bytes or more), by two that overlap and cover it."""
-        out = np.zeros((2, len(start)), np.uint64)
-        level = np.floor(np.log2(length / self.short)).astype(np.int64) if len(length) else length
-        for k in np.unique(level):
-            i = np.flatnonzero(level == k)
-            tail = start[i] + length[i] - (self.short << int(k))
-            for c, h in enumerate(self.level(int(k))):
-                out[c, i] = mix(mix(h[start[i]] * _K[5] + length[i].astype(np.uint64)) + h[tail])
+        self.data, self.short, self.grams = data, short, grams(data, short)
+        self.lanes: dict[tuple[int, int], np.ndarray] = {}
+
+    def level(self, k: int, lane: int) -> np.ndarray:
+        """The hashes of short * 2**k bytes."""
+        if (k, lane) not in self.lanes:
+            if k == 0:
+                a, b = self.grams
+                self.lanes[k, lane] = stirred(b * _K[2 * lane + 1], a * _K[2 * lane])
+            else:
+                h, step = self.level(k - 1, lane), self.short << (k - 1)
+                rest = np.zeros_like(h)
+                rest[: max(0, len(h) - step)] = h[step:]
+                self.lanes[k, lane] = stirred(h * _K[4], rest)
+        return self.lanes[k, lane]
+
+    def of(self, start: np.ndarray, length: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits for each of the strings (of `least` >= short bytes or more): from hashed pieces that cover
+        it, the last of which may overlap; from its bytes, where there would be more than four."""
+        k = int(2 * self.short <= least)
+        size = self.short << k
+        out = np.empty((2, len(start)), np.uint64)
+        tail = start + length - size
+        for lane in (0, 1):
+            h = self.level(k, lane)
+            now = length.astype(np.uint64) * _K[5]
+            for j in range(4):
+                now = stirred(now, h[np.minimum(start + j * size, tail)])
+            out[lane] = now
+        long = np.flatnonzero(length > 4 * size)
+        if len(long):
+            raw = self.data.tobytes()
+            digests = [hashlib.blake2b(raw[a : a + n], digest_size=16).digest() for a, n in zip(start[long].tolist(), length[long].tolist(), strict=True)]
+            out[:, long] = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2).T
         return out[0], out[1]
 
 
+def stirred(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A hash of two numbers, made in place of the first: a change of either changes it."""
+    t = x >> _29
+    x ^= t
+    x *= _K[3]
+    x += y
+    np.right_shift(x, _32, out=t)
+    x ^= t
+    x *= _K[2]
+    np.right_shift(x, _29, out=t)
+    x ^= t
+    return x
+
+
 class Keys:
     """The distinct keys (pairs of numbers) of some items, in the order of a hash whose top bits name the bucket."""
 
@@ -190,49 +215,43 @@ class Ask:
     sieve: 32 bits of the key's hash; told: whether several documents or blocks hold it.
     rank: the key itself; told: its rank, or 0 where one document of one block holds it.
     low: the key and its smallest document; told: the smallest document of all blocks.
-    unlike: 32 bits and the smallest and largest of a value; told: whether the values differ anywhere.
     """
 
     kind: str
 
     def load(self, keys: Keys, doc: np.ndarray) -> list[np.ndarray]:
         """Columns with a value for each distinct key."""
-        low = keys.least(doc) if self.kind != "sieve" or len(doc) else doc
-        brief = (keys.hash & _LOW32).astype(np.uint32)
+        low = keys.least(doc)
         if self.kind == "low":
             return [keys.k1, keys.k2, low]
-        if self.kind == "unlike":
-            return [brief, low, keys.most(doc)]
         several = (low < keys.most(doc)).astype(np.uint8)
-        return [brief, several] if self.kind == "sieve" else [keys.k1, keys.k2, several]
+        return [(keys.hash & _LOW32).astype(np.uint32), several] if self.kind == "sieve" else [keys.k1, keys.k2, several]
 
     @property
     def kinds(self) -> list:
-        return {"sieve": [np.uint32, np.uint8], "rank": [np.uint64, np.uint64, np.uint8], "low": [np.uint64, np.uint64, np.int64], "unlike": [np.uint32, np.int64, np.int64]}[self.kind]
+        return {"sieve": [np.uint32, np.uint8], "rank": [np.uint64, np.uint64, np.uint8], "low": [np.uint64, np.uint64, np.int64]}[self.kind]
 
     @property
     def told(self) -> type:
-        return {"sieve": np.uint8, "rank": np.uint64, "low": np.int64, "unlike": np.uint8}[self.kind]
+        return {"sieve": np.uint8, "rank": np.uint64, "low": np.int64}[self.kind]
 
     def answer(self, bucket: int, columns: list[np.ndarray]) -> np.ndarray:
         """The answer to each of the keys that all blocks sent to a bucket."""
-        if self.kind in ("sieve", "unlike"):
+        if self.kind == "sieve":
             order = np.argsort(columns[0])
             brief = columns[0][order]
             fresh = np.ones(len(brief), bool)
             fresh[1:] = brief[1:] != brief[:-1]
-            first, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
-            if self.kind == "sieve":
-                yes = np.diff(np.append(first, len(brief))) + np.add.reduceat(columns[1][order].astype(np.int64), first) > 1
-            else:
-                yes = np.minimum.reduceat(columns[1][order], first) < np.maximum.reduceat(columns[2][order], first)
+            first = np.flatnonzero(fresh)
+            times = np.diff(np.append(first, len(brief)))
+            yes = np.add.reduceat(columns[1][order], first, dtype=np.int64) + times > 1
             out = np.empty(len(brief), np.uint8)
-            out[order] = yes[group]
+            out[order] = np.repeat(yes, times)
             return out
         keys = Keys(columns[0], columns[1])
         if self.kind == "low":
             return keys.items(keys.least(columns[2]))
-        times = np.diff(np.append(keys.first, len(keys.order))) + np.add.reduceat(columns[2][keys.order].astype(np.int64), keys.first)
+        times = np.diff(np.append(keys.first, len(keys.order))) + np.add.reduceat(columns[2][keys.order], keys.first, dtype=np.int64)
         rank = np.cumsum(times > 1).astype(np.uint64) + (np.uint64(bucket) << np.uint64(32))
         return keys.items(np.where(times > 1, rank, np.uint64(0)))
 
@@ -333,7 +352,7 @@ def to_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 def sieve_keys(block: Block, short: int, size: int, length: int) -> tuple[Keys, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, documents, first windows and numbers of windows of the runs whose windows have one least hash
     among the strings of `size` bytes inside; size is short or twice short."""
-    h = Fingerprints(block.data, short).level(0 if size == short else 1)[0]
+    h = Fingerprints(block.data, short).level(0 if size == short else 1, 0)
     least = sliding_min(h, length - size + 1)
     at, n = runs(block, least)
     return Keys(least[at]), block.docs(at), at, n
@@ -341,12 +360,16 @@ def sieve_keys(block: Block, short: int, size: int, length: int) -> tuple[Keys,
 
 def runs(block: Block, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First places and lengths of the runs of neighbouring windows with one value."""
-    s = np.flatnonzero(block.alive)
-    seg = block.segment(s)
-    fresh = np.ones(len(s), bool)
-    fresh[1:] = (s[1:] != s[:-1] + 1) | (seg[1:] != seg[:-1]) | (value[s[1:]] != value[s[:-1]])
+    m = len(value)
+    alive = block.alive[:m]
+    fresh = alive.copy()
+    opens = np.zeros(len(block.alive) + 1, bool)
+    opens[block.offs] = True
+    if m:
+        fresh[1:] &= ~alive[:-1] | (value[1:] != value[:-1]) | opens[1:m]
     first = np.flatnonzero(fresh)
-    return s[first], np.diff(np.append(first, len(s)))
+    before = np.cumsum(alive, dtype=np.int32)
+    return first, np.diff(np.append(before[first] - 1, before[-1] if m else 0)).astype(np.int64)
 
 
 def windows_of(block: Block, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -380,34 +403,21 @@ def repeated_windows(first: DataFrame, length: int, buckets: int) -> list[DataFr
         discard(answers)
         return out
 
-    def whole(block: Block) -> tuple:
-        """Runs by the sampled string, keys of all their bytes, documents."""
+    def whole(block: Block) -> tuple[Keys, np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of all the bytes of the runs, documents, first windows, numbers of windows."""
         prints = Fingerprints(block.data, short)
-        least = sliding_min(prints.level(0)[0], length - short + 1)
-        at, n = runs(block, least)
-        return Keys(*prints.of(at, n + length - 1)), least[at], block.docs(at), at, n
+        at, n = runs(block, sliding_min(prints.level(0, 0), length - short + 1))
+        return Keys(*prints.of(at, n + length - 1, length)), block.docs(at), at, n
 
     def settle(blocks: DataFrame) -> DataFrame:
-        def by_bytes(block: Block) -> tuple[Keys, np.ndarray]:
-            keys, _, doc, _, _ = whole(block)
-            return keys, doc
-
-        def by_sample(block: Block, low: np.ndarray) -> tuple[Keys, np.ndarray]:
-            keys, least, _, _, _ = whole(block)
-            return Keys(least), keys.items(low)
-
-        def take(block: Block, low: np.ndarray, unlike: np.ndarray) -> tuple:
-            keys, least, doc, at, n = whole(block)
-            settled = keys.items(low) < doc
-            is_open = ~settled & Keys(least).items(unlike).astype(bool)
-            return block.cut(windows_of(block, at[is_open], n[is_open]), length), *block.spans(at[settled], n[settled])
-
-        told = {"low": Ask("low")}
-        low = asked(blocks, Ask("low"), by_bytes, {}, length, buckets, "low")
-        with_low = blocks.join(low, "block")
-        unlike = asked(with_low, Ask("unlike"), by_sample, told, length, buckets, "unlike")
-        out = moved(with_low.join(unlike, "block"), take, told | {"unlike": Ask("unlike")}, length, True, "settled")
-        discard(low, unlike)
+        def take(block: Block, low: np.ndarray) -> tuple:
+            keys, doc, at, n = whole(block)
+            done = keys.items(low) < doc
+            return block.cut(windows_of(block, at[~done], n[~done]), length), *block.spans(at[done], n[done])
+
+        answers = asked(blocks, Ask("low"), lambda block: whole(block)[:2], {}, length, buckets, "low")
+        out = moved(blocks.join(answers, "block"), take, {"low": Ask("low")}, length, True, "settled")
+        discard(answers)
         return out
 
     def pairs(block: Block, size: int, to: int) -> tuple[Keys, np.ndarray, np.ndarray]:
