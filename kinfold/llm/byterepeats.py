@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .doubling import BLOCK_BYTES, BUCKET_BYTES, read_blocks, repeated_windows, to_blocks
-from .store import materialize
+from .doubling import BLOCK_BYTES, gone_by_block, read_blocks
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -21,7 +20,7 @@ def strip_bytes(blocks: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, block in read_blocks(b, length):
+            for i, block in read_blocks(b, length, False):
                 offs = block.offs
                 step = np.zeros(len(block.data) + 1, np.int32)
                 for span in b.column("gone")[i].as_py() or []:
@@ -51,10 +50,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 50, block_bytes: int =
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    blocks = materialize(to_blocks(docs.where(F.col("doc_id").isNotNull()), block_bytes), "blocks", "zstd")
-    total = blocks.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
-    first, last = repeated_windows(blocks, length, 1 + total // BUCKET_BYTES)
-    gone = first.unionByName(last).groupBy("block").agg(F.collect_list(F.struct("gone_home", "gone_place", "gone_n")).alias("gone"))
-    out = strip_bytes(blocks.join(gone, "block", "left"), length)
+    blocks = gone_by_block(docs.where(F.col("doc_id").isNotNull()), length, False, block_bytes)
+    out = strip_bytes(blocks, length)
     nameless = docs.where(F.col("doc_id").isNull()).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
     return out.unionByName(nameless)

@@ -1,5 +1,6 @@
 """Prefix doubling over blocks of text: which windows of a length an earlier document holds.
 
+Windows are of bytes or of words; "symbols" below are either. Bytes are compared themselves, words by 128 bits.
 A block is a row with some segments of documents. In each round the blocks send keys of their positions to
 buckets, a bucket sorts the keys of all blocks and answers, and the blocks keep what is left:
 
@@ -28,34 +29,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import discard, materialize
-from .textgrid import batch_text, mix, pieces, window_ends
+from .textgrid import _K, Grid, batch_text, mix, pieces, stirred, unaligned, window_ends
 
 BLOCK_BYTES = 1_000_000
 BUCKET_BYTES = 16_000_000
-SCHEMA = "block long, raw binary, size array<int>, doc array<long>, home array<int>, start array<int>, alive binary, rank binary"
+SCHEMA = "block long, raw binary, size array<int>, count array<int>, doc array<long>, home array<int>, start array<int>, alive binary, rank binary"
 #: Spans that go: the row of the block's first table, the first window's place in it, and how many windows.
 GONE = "gone_home array<int>, gone_place array<int>, gone_n array<int>"
-_K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
-_LOW32, _29, _32 = np.uint64(0xFFFFFFFF), np.uint64(29), np.uint64(32)
+_LOW32 = np.uint64(0xFFFFFFFF)
 
 
 @dataclass
 class Block:
-    """size, doc, home, start: bytes of each segment, its document, its row in the first table, its place there.
-    alive: the places where windows still start. rank: ranks of the places that alive windows need."""
+    """size, count, doc, home, start: bytes and symbols of each segment, its document, its row in the first
+    table, its first symbol's place there. alive: the places where windows still start. rank: ranks of the
+    places that alive windows need. words: where symbols are words, they; None for bytes."""
 
     block: int
     data: np.ndarray
     size: np.ndarray
+    count: np.ndarray
     doc: np.ndarray
     home: np.ndarray
     start: np.ndarray
     alive: np.ndarray
     rank: np.ndarray
+    words: Grid | None
 
     @property
     def offs(self) -> np.ndarray:
-        return np.concatenate([[0], np.cumsum(self.size, dtype=np.int64)])
+        return np.concatenate([[0], np.cumsum(self.count, dtype=np.int64)])
 
     def segment(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offs, at, "right") - 1
@@ -64,19 +67,44 @@ class Block:
         return self.doc[self.segment(at)]
 
     def row(self) -> tuple:
-        return (self.block, self.data.tobytes(), self.size, self.doc, self.home, self.start, np.packbits(self.alive).tobytes(), self.rank.tobytes())
+        return (self.block, self.data.tobytes(), self.size, self.count, self.doc, self.home, self.start, np.packbits(self.alive).tobytes(), self.rank.tobytes())
+
+    def bare(self, alive: np.ndarray, rank: np.ndarray) -> Block:
+        """Ranks tell all that is left to know."""
+        return replace(self, data=self.data[:0], size=self.size * 0, alive=alive, rank=rank, words=None)
 
     def cut(self, alive: np.ndarray, length: int) -> Block:
-        """Only the bytes that windows in `alive` cover; touching windows of one segment stay together."""
-        n, offs = len(self.data), self.offs
+        """Only the symbols that windows in `alive` cover; touching windows of one segment stay together."""
+        offs = self.offs
         cover = spread(alive, length)
         fresh = cover & ~np.concatenate([[False], cover[:-1]])
-        fresh[offs[:-1][self.size > 0]] |= cover[offs[:-1][self.size > 0]]
-        first = np.flatnonzero(fresh)
-        index = np.cumsum(cover)
-        size = np.diff(np.append(index[first] - 1, index[-1] if n else 0))
+        opens = offs[:-1][self.count > 0]
+        fresh[opens] = cover[opens]
+        first, index = np.flatnonzero(fresh), np.cumsum(cover)
+        count = np.diff(np.append(index[first] - 1, index[-1] if len(index) else 0))
         seg = self.segment(first)
-        return Block(self.block, self.data[cover], size.astype(np.int32), self.doc[seg], self.home[seg], (self.start[seg] + first - offs[seg]).astype(np.int32), alive[cover], self.rank)
+        size, kept = count, cover
+        if self.words is not None:
+            begin, end = self.words.start[first], self.words.end[np.flatnonzero(cover)[np.cumsum(count) - 1]]
+            size, step = end - begin, np.zeros(len(self.data) + 1, np.int32)
+            step[begin] += 1
+            np.add.at(step, end, -1)
+            kept = np.cumsum(step[:-1]) > 0
+        to_int = lambda x: x.astype(np.int32)
+        return Block(self.block, self.data[kept], to_int(size), to_int(count), self.doc[seg], self.home[seg], to_int(self.start[seg] + first - offs[seg]), alive[cover], self.rank, self.words)
+
+    def grams(self, short: int) -> tuple[np.ndarray, np.ndarray]:
+        """The `short` symbols from each place on as two numbers: up to 16 bytes themselves, or 128 bits of words."""
+        if self.words is None:
+            words, n = unaligned(self.data).copy(), len(self.data)
+            mask = lambda k: np.uint64((1 << 8 * k) - 1)
+            return words[:n] & mask(min(8, short)), words[8:] & mask(max(0, short - 8))
+        a, b = (joined(h, short) for h in self.words.lanes)
+        return a, b
+
+    def raw(self) -> tuple[bytes, int]:
+        """All symbols as bytes, and the bytes of one."""
+        return (self.data.tobytes(), 1) if self.words is None else (np.stack(self.words.lanes, axis=1).tobytes(), 16)
 
     def spans(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(home, place, n) of the runs of n windows from `at` (rising), with touching ones joined."""
@@ -108,36 +136,38 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:n], out[width - size : width - size + n])
 
 
-def grams(data: np.ndarray, short: int) -> tuple[np.ndarray, np.ndarray]:
-    """The `short` (16 at most) bytes from each place on, as two numbers; the data is followed by zeros."""
-    n = len(data)
-    words = np.ndarray(n + 8, "<u8", np.concatenate([data, np.zeros(16, np.uint8)]).tobytes(), strides=(1,)).copy()
-    mask = lambda k: np.uint64((1 << 8 * k) - 1)
-    return words[:n] & mask(min(8, short)), words[8:] & mask(max(0, short - 8))
+def paired(h: np.ndarray, step: int) -> np.ndarray:
+    """Hashes of what starts at each place and `step` places on; nothing behind the end."""
+    rest = np.zeros_like(h)
+    rest[: max(0, len(h) - step)] = h[step:]
+    return stirred(h * _K[4], rest)
+
+
+def joined(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n neighbours from each place on, by doubling."""
+    size = 1
+    while size < n:
+        step = min(size, n - size)
+        h, size = paired(h, step), size + step
+    return h
 
 
 class Fingerprints:
     """Two 64-bit hashes of the strings from each place on, at lengths that double from `short`."""
 
-    def __init__(self, data: np.ndarray, short: int):
-        self.data, self.short, self.grams = data, short, grams(data, short)
+    def __init__(self, block: Block, short: int):
+        self.block, self.short, self.grams = block, short, block.grams(short)
         self.lanes: dict[tuple[int, int], np.ndarray] = {}
 
     def level(self, k: int, lane: int) -> np.ndarray:
-        """The hashes of short * 2**k bytes."""
+        """The hashes of short * 2**k symbols."""
         if (k, lane) not in self.lanes:
-            if k == 0:
-                a, b = self.grams
-                self.lanes[k, lane] = stirred(b * _K[2 * lane + 1], a * _K[2 * lane])
-            else:
-                h, step = self.level(k - 1, lane), self.short << (k - 1)
-                rest = np.zeros_like(h)
-                rest[: max(0, len(h) - step)] = h[step:]
-                self.lanes[k, lane] = stirred(h * _K[4], rest)
+            a, b = self.grams
+            self.lanes[k, lane] = stirred(b * _K[2 * lane + 1], a * _K[2 * lane]) if k == 0 else paired(self.level(k - 1, lane), self.short << (k - 1))
         return self.lanes[k, lane]
 
     def of(self, start: np.ndarray, length: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """128 bits for each of the strings (of `least` >= short bytes or more): from hashed pieces that cover
+        """128 bits for each of the strings (of `least` >= short symbols or more): from hashed pieces that cover
         it, the last of which may overlap; from its bytes, where there would be more than four."""
         k = int(2 * self.short <= least)
         size = self.short << k
@@ -151,26 +181,12 @@ class Fingerprints:
             out[lane] = now
         long = np.flatnonzero(length > 4 * size)
         if len(long):
-            raw = self.data.tobytes()
-            digests = [hashlib.blake2b(raw[a : a + n], digest_size=16).digest() for a, n in zip(start[long].tolist(), length[long].tolist(), strict=True)]
+            raw, w = self.block.raw()
+            digests = [hashlib.blake2b(raw[a * w : (a + n) * w], digest_size=16).digest() for a, n in zip(start[long].tolist(), length[long].tolist(), strict=True)]
             out[:, long] = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2).T
         return out[0], out[1]
 
 
-def stirred(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A hash of two numbers, made in place of the first: a change of either changes it."""
-    t = x >> _29
-    x ^= t
-    x *= _K[3]
-    x += y
-    np.right_shift(x, _32, out=t)
-    x ^= t
-    x *= _K[2]
-    np.right_shift(x, _29, out=t)
-    x ^= t
-    return x
-
-
 class Keys:
     """The distinct keys (pairs of numbers) of some items, in the order of a hash whose top bits name the bucket."""
 
@@ -268,16 +284,18 @@ def _unpack(raw: bytes, kinds: list) -> list[np.ndarray]:
     return out
 
 
-def read_blocks(b: pa.RecordBatch, length: int) -> Iterator[tuple[int, Block]]:
+def read_blocks(b: pa.RecordBatch, length: int, words: bool, lanes: int = 2) -> Iterator[tuple[int, Block]]:
     """The blocks of a batch; in those of whole documents, every window is alive."""
     for i in range(b.num_rows):
         get = lambda c, kind: np.asarray(b.column(c)[i].values).astype(kind, copy=False)  # noqa: E731, B023
         size, raw = get("size", np.int32), np.frombuffer(b.column("raw")[i].as_py(), np.uint8)
-        total = int(size.sum(dtype=np.int64))
+        grid = Grid(raw, np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), lanes=lanes) if words and len(raw) else None
+        count = np.diff(grid.first).astype(np.int32) if grid is not None else get("count", np.int32) if b.column("count")[i].is_valid else size
+        offs = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
         bits = b.column("alive")[i].as_py()
-        alive = window_ends(np.concatenate([[0], np.cumsum(size, dtype=np.int64)]), length)[:total] if bits is None else np.unpackbits(np.frombuffer(bits, np.uint8), count=total).astype(bool)
+        alive = window_ends(offs, length)[: offs[-1]] if bits is None else np.unpackbits(np.frombuffer(bits, np.uint8), count=int(offs[-1])).astype(bool)
         rank = b.column("rank")[i].as_py()
-        yield i, Block(b.column("block")[i].as_py(), raw, size, get("doc", np.int64), get("home", np.int32), get("start", np.int32), alive, np.frombuffer(rank or b"", np.uint64))
+        yield i, Block(b.column("block")[i].as_py(), raw, size, count, get("doc", np.int64), get("home", np.int32), get("start", np.int32), alive, np.frombuffer(rank or b"", np.uint64), grid)
 
 
 def _batch(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
@@ -285,7 +303,7 @@ def _batch(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.Recor
 
 
 _LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
-_ROW = [("block", pa.int64()), ("raw", pa.binary()), ("size", _INTS), ("doc", _LONGS), ("home", _INTS), ("start", _INTS), ("alive", pa.binary()), ("rank", pa.binary())]
+_ROW = [("block", pa.int64()), ("raw", pa.binary()), ("size", _INTS), ("count", _INTS), ("doc", _LONGS), ("home", _INTS), ("start", _INTS), ("alive", pa.binary()), ("rank", pa.binary())]
 _GONE = [("gone_home", _INTS), ("gone_place", _INTS), ("gone_n", _INTS)]
 
 Make = Callable[..., "tuple[Keys, np.ndarray]"]
@@ -297,17 +315,29 @@ def heard(b: pa.RecordBatch, name: str, i: int, kind: type) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, kind) for _, x in parts]) if parts else np.zeros(0, kind)
 
 
-def asked(blocks: DataFrame, ask: Ask, make: Make, told: dict[str, Ask], length: int, buckets: int, name: str) -> DataFrame:
-    """(block, name): a round's answers. make(block, answers of the rounds in `told`) gives the keys and their documents."""
+@dataclass(frozen=True)
+class Work:
+    """Symbols of a window, whether they are words, and into how many buckets (and partitions) the data go."""
+
+    length: int
+    words: bool
+    buckets: int
+
+    def joined(self, blocks: DataFrame, answers: DataFrame) -> DataFrame:
+        return blocks.repartition(self.buckets, "block").join(answers.repartition(self.buckets, "block"), "block")
+
+
+def asked(blocks: DataFrame, ask: Ask, make: Make, work: Work, name: str) -> DataFrame:
+    """(block, name): a round's answers. make(block) gives the keys and their documents."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, block in read_blocks(b, length):
-                keys, doc = make(block, *[heard(b, c, i, a.told) for c, a in told.items()])
+            for _, block in read_blocks(b, work.length, work.words):
+                keys, doc = make(block)
                 if not len(keys.first):
                     continue
                 columns = ask.load(keys, doc)
-                to, cut = keys.cuts(buckets)
+                to, cut = keys.cuts(work.buckets)
                 yield _batch([(int(t), block.block, _pack([c[x:y] for c in columns])) for t, x, y in zip(to, cut[:-1], cut[1:], strict=True)], [("bucket", pa.int64()), ("block", pa.int64()), ("load", pa.binary())])
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
@@ -316,17 +346,18 @@ def asked(blocks: DataFrame, ask: Ask, make: Make, told: dict[str, Ask], length:
         answer = ask.answer(int(group["bucket"].iloc[0]), [np.concatenate(c) for c in zip(*parts, strict=True)])
         return pd.DataFrame({"bucket": group["bucket"], "block": group["block"], "load": [x.tobytes() for x in np.split(answer, sizes)]})
 
-    met = blocks.mapInArrow(send, "bucket long, block long, load binary").groupBy("bucket").applyInPandas(meet, "bucket long, block long, load binary")
-    return materialize(met.groupBy("block").agg(F.collect_list(F.struct("bucket", "load")).alias(name)), name)
+    sent = blocks.mapInArrow(send, "bucket long, block long, load binary").repartition(work.buckets, "bucket")
+    met = sent.groupBy("bucket").applyInPandas(meet, "bucket long, block long, load binary")
+    return materialize(met.repartition(work.buckets, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "load")).alias("answers")), name)
 
 
-def moved(blocks: DataFrame, take: Callable[..., tuple], told: dict[str, Ask], length: int, gone: bool, name: str) -> DataFrame:
+def moved(blocks: DataFrame, take: Callable[..., tuple], ask: Ask, work: Work, gone: bool, name: str) -> DataFrame:
     """The next table of blocks: take(block, answers) gives a block and, with gone, spans that go. Blocks with nothing are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, block in read_blocks(b, length):
-                now, *spans = take(block, *[heard(b, c, i, a.told) for c, a in told.items()])
+            for i, block in read_blocks(b, work.length, work.words):
+                now, *spans = take(block, heard(b, "answers", i, ask.told))
                 if now.alive.any() or gone and len(spans[0]):
                     yield _batch([(*now.row(), *spans)], _ROW + _GONE * gone)
 
@@ -343,7 +374,7 @@ def to_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi in pieces(offs, block_bytes):
                 at = np.arange(hi - lo, dtype=np.int32)
-                yield _batch([(n, data[offs[lo] : offs[hi]].tobytes(), np.diff(offs[lo : hi + 1]).astype(np.int32), ids[lo:hi], at, np.zeros(hi - lo, np.int32), None, None)], _ROW)
+                yield _batch([(n, data[offs[lo] : offs[hi]].tobytes(), np.diff(offs[lo : hi + 1]).astype(np.int32), None, ids[lo:hi], at, np.zeros(hi - lo, np.int32), None, None)], _ROW)
                 n += 1
 
     return docs.mapInArrow(run, SCHEMA)
@@ -352,7 +383,7 @@ def to_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
 def sieve_keys(block: Block, short: int, size: int, length: int) -> tuple[Keys, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, documents, first windows and numbers of windows of the runs whose windows have one least hash
     among the strings of `size` bytes inside; size is short or twice short."""
-    h = Fingerprints(block.data, short).level(0 if size == short else 1, 0)
+    h = Fingerprints(block, short).level(0 if size == short else 1, 0)
     least = sliding_min(h, length - size + 1)
     at, n = runs(block, least)
     return Keys(least[at]), block.docs(at), at, n
@@ -380,32 +411,29 @@ def windows_of(block: Block, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def repeated_windows(first: DataFrame, length: int, buckets: int) -> list[DataFrame]:
-    """(block, gone_home, gone_place, gone_n): the windows of `length` bytes that a document with a smaller
-    doc_id holds too, as tables of the shared folder. first: the table of to_blocks()."""
+def repeated_windows(first: DataFrame, work: Work) -> list[DataFrame]:
+    """(block, gone_home, gone_place, gone_n): the windows that a document with a smaller doc_id holds too, as
+    tables of the shared folder. first: the table of to_blocks()."""
+    length = work.length
     short = min(16, max(1, length // 3))
     double = min(2 * short, length)
 
     def sieve(blocks: DataFrame, size: int) -> DataFrame:
-        """Windows whose sampled string of `size` bytes several documents hold."""
-        told = {f"sieve{size}": Ask("sieve")}
-
-        def make(block: Block) -> tuple[Keys, np.ndarray]:
-            return sieve_keys(block, short, size, length)[:2]
+        """Windows whose sampled string of `size` symbols several documents hold."""
 
         def take(block: Block, yes: np.ndarray) -> tuple:
             keys, _, at, n = sieve_keys(block, short, size, length)
             hit = keys.items(yes).astype(bool)
             return (block.cut(windows_of(block, at[hit], n[hit]), length),)
 
-        answers = asked(blocks, Ask("sieve"), make, {}, length, buckets, f"sieve{size}")
-        out = moved(blocks.join(answers, "block"), take, told, length, False, f"blocks{size}")
+        answers = asked(blocks, Ask("sieve"), lambda block: sieve_keys(block, short, size, length)[:2], work, f"sieve{size}")
+        out = moved(work.joined(blocks, answers), take, Ask("sieve"), work, False, f"blocks{size}")
         discard(answers)
         return out
 
     def whole(block: Block) -> tuple[Keys, np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of all the bytes of the runs, documents, first windows, numbers of windows."""
-        prints = Fingerprints(block.data, short)
+        """Keys of all the symbols of the runs, documents, first windows, numbers of windows."""
+        prints = Fingerprints(block, short)
         at, n = runs(block, sliding_min(prints.level(0, 0), length - short + 1))
         return Keys(*prints.of(at, n + length - 1, length)), block.docs(at), at, n
 
@@ -415,35 +443,32 @@ def repeated_windows(first: DataFrame, length: int, buckets: int) -> list[DataFr
             done = keys.items(low) < doc
             return block.cut(windows_of(block, at[~done], n[~done]), length), *block.spans(at[done], n[done])
 
-        answers = asked(blocks, Ask("low"), lambda block: whole(block)[:2], {}, length, buckets, "low")
-        out = moved(blocks.join(answers, "block"), take, {"low": Ask("low")}, length, True, "settled")
+        answers = asked(blocks, Ask("low"), lambda block: whole(block)[:2], work, "low")
+        out = moved(work.joined(blocks, answers), take, Ask("low"), work, True, "settled")
         discard(answers)
         return out
 
     def pairs(block: Block, size: int, to: int) -> tuple[Keys, np.ndarray, np.ndarray]:
-        """Keys of the strings of `to` bytes that alive windows need: the bytes (size 0), or the ranks of two
-        strings of `size` bytes."""
+        """Keys of the strings of `to` symbols that alive windows need: themselves (size 0), or the ranks of two
+        strings of `size` symbols."""
         at = np.flatnonzero(spread(block.alive, length - to + 1))
         if size == 0:
-            a, b = grams(block.data, to)
+            a, b = block.grams(to)
             return Keys(a[at], b[at]), block.docs(at), at
         rank = np.zeros(len(block.alive), np.uint64)
         rank[spread(block.alive, length - size + 1)] = block.rank
         return Keys(rank[at], rank[at + to - size]), block.docs(at), at
 
     def doubled(blocks: DataFrame, size: int, to: int) -> DataFrame:
-        """Ranks at `to` bytes; at the window's length, the spans that go."""
+        """Ranks at `to` symbols; at the window's length, the spans that go."""
         ask = Ask("low" if to == length else "rank")
 
-        def make(block: Block) -> tuple[Keys, np.ndarray]:
-            return pairs(block, size, to)[:2]
-
         def take(block: Block, answer: np.ndarray) -> tuple:
             keys, doc, at = pairs(block, size, to)
             own = keys.items(answer)
             if to == length:
                 hit = at[own < doc]
-                return replace(block, alive=np.zeros(0, bool), data=block.data[:0], rank=block.rank[:0]), *block.spans(hit, np.ones(len(hit), np.int64))
+                return block.bare(np.zeros(0, bool), block.rank[:0]), *block.spans(hit, np.ones(len(hit), np.int64))
             alone = np.zeros(len(block.alive) + 1, np.int64)
             alone[at[own == 0] + 1] = 1
             alone = np.cumsum(alone)
@@ -452,10 +477,10 @@ def repeated_windows(first: DataFrame, length: int, buckets: int) -> list[DataFr
             alive[s[alone[s + length - to + 1] == alone[s]]] = True
             rank = np.zeros(len(block.alive), np.uint64)
             rank[at] = own
-            return (replace(block, data=block.data[:0], alive=alive, rank=rank[spread(alive, length - to + 1)]),)
+            return (block.bare(alive, rank[spread(alive, length - to + 1)]),)
 
-        answers = asked(blocks, ask, make, {}, length, buckets, f"ranks{to}")
-        out = moved(blocks.join(answers, "block"), take, {f"ranks{to}": ask}, length, to == length, f"ranked{to}")
+        answers = asked(blocks, ask, lambda block: pairs(block, size, to)[:2], work, f"ranks{to}")
+        out = moved(work.joined(blocks, answers), take, ask, work, to == length, f"ranked{to}")
         discard(answers)
         return out
 
@@ -471,3 +496,13 @@ def repeated_windows(first: DataFrame, length: int, buckets: int) -> list[DataFr
             break
         size, to = to, min(2 * to, length)
     return [t.select("block", "gone_home", "gone_place", "gone_n") for t in (settled, now)]
+
+
+def gone_by_block(docs: DataFrame, length: int, words: bool, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs (doc_id, text; no null ids) as blocks, with gone: an array of (gone_home, gone_place, gone_n)."""
+    blocks = materialize(to_blocks(docs, block_bytes), "blocks", "zstd")
+    total = blocks.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
+    work = Work(length, words, 1 + total // BUCKET_BYTES)
+    first, last = repeated_windows(blocks, work)
+    gone = first.unionByName(last).repartition(work.buckets, "block").groupBy("block").agg(F.collect_list(F.struct("gone_home", "gone_place", "gone_n")).alias("gone"))
+    return blocks.repartition(work.buckets, "block").join(gone, "block", "left")

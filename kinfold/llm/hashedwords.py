@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .textgrid import Grid, mix, span_hash
+from .textgrid import LOWER_CODE, Grid, mix, prefix_hash, span_hash
 
 BITS = 18
 #: Besides the whole word, its first bytes are features: a stem may take endings never seen in training.
@@ -18,9 +18,10 @@ class Features:
     """index: the features of each word, by column; sentence: first word of each sentence; doc: first sentence of each document."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
-        g = self.grid = Grid(data, offs, lower=True, separators=_WORDLESS)
+        g = self.grid = Grid(data, offs, separators=_WORDLESS)
+        prefix = prefix_hash(LOWER_CODE[g.data])
         size = g.end - g.start
-        kinds = [g.hash, *[mix(span_hash(g.prefix, g.start, np.minimum(size, n)) + np.uint64(n)) for n in STEMS]]
+        kinds = [mix(span_hash(prefix, g.start, size) + size.astype(np.uint64)), *[mix(span_hash(prefix, g.start, np.minimum(size, n)) + np.uint64(n)) for n in STEMS]]
         self.index = np.stack([(h & np.uint64((1 << BITS) - 1)).astype(np.int32) for h in kinds])
         stops = np.concatenate([[0], np.cumsum(_STOP[g.data])])
         fresh = np.ones(len(g.start), bool)
@@ -35,7 +36,9 @@ class Features:
 
 
 def group_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of values[first[k] : first[k + 1]], 0 for empty groups."""
-    total = np.zeros((len(values) + 1,) + values.shape[1:])
-    np.cumsum(values, axis=0, out=total[1:])
-    return total[first[1:]] - total[first[:-1]]
+    """Sums of values[first[k] : first[k + 1]], 0 for empty groups: each from its own values alone."""
+    out = np.zeros((len(first) - 1,) + values.shape[1:])
+    full = np.flatnonzero(first[1:] > first[:-1])
+    if len(full):
+        out[full] = np.add.reduceat(values, first[full], axis=0)
+    return out

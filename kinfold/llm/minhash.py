@@ -20,7 +20,7 @@ _MULT = np.uint64(0xD1342543DE82EF95)
 
 def shingle_sets(grid: Grid, width: int) -> Iterator[np.ndarray]:
     """Each document's distinct shingle hashes, sorted; a text of fewer words is one shingle."""
-    h, first = grid.hash, grid.first
+    h, first = grid.lanes[0], grid.first
     n = len(h)
     s = np.zeros(n, np.uint64)
     for j in range(width):
@@ -67,7 +67,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int = 5) -> DataFr
             data, offs = batch_text(b)
             size, digest, keys = [], [], []
             for lo, hi in pieces(offs):
-                for s in shingle_sets(Grid(data, offs[lo : hi + 1], lower=True), width):
+                for s in shingle_sets(Grid(data, offs[lo : hi + 1], lower=True, lanes=1), width):
                     size.append(len(s))
                     if not len(s):
                         digest.append(None)
@@ -90,7 +90,7 @@ def full_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = batch_text(b)
-            sets = [s.view(np.int64) for lo, hi in pieces(offs) for s in shingle_sets(Grid(data, offs[lo : hi + 1], lower=True), width)]
+            sets = [s.view(np.int64) for lo, hi in pieces(offs) for s in shingle_sets(Grid(data, offs[lo : hi + 1], lower=True, lanes=1), width)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")

@@ -73,7 +73,7 @@ def memberships(docs: DataFrame, log_rates: np.ndarray, sharpness: float = SHARP
             data, offs = batch_text(b)
             tokens, post = [], []
             for lo, hi in pieces(offs):
-                tokens.append(np.diff(Grid(data, offs[lo : hi + 1], hashed=False).first))
+                tokens.append(np.diff(Grid(data, offs[lo : hi + 1]).first))
                 f = Features(data, offs[lo : hi + 1])
                 first = f.grid.first
                 sums = np.stack([group_sums(table[:, d][f.index[0]].astype(np.float64), first) for d in range(table.shape[1])], axis=1)

@@ -6,6 +6,7 @@ A word is a maximal run of bytes other than 0x20 and 0x09-0x0D inside one docume
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +18,14 @@ _SEP[[0x20, 9, 10, 11, 12, 13]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _rng = np.random.default_rng(20240607)
 BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_LOWER = np.arange(256)
-_LOWER[65:91] += 32
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += np.uint8(32)
 LOWER_CODE = BYTE_CODE[_LOWER]
+_K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
+_29, _32 = np.uint64(29), np.uint64(32)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Words of more bytes are hashed by a digest.
+LONG_WORD = 64
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -44,6 +50,47 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def stirred(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A hash of two numbers, made in place of the first: a change of either one changes it."""
+    t = x >> _29
+    x ^= t
+    x *= _K[3]
+    x += y
+    np.right_shift(x, _32, out=t)
+    x ^= t
+    x *= _K[2]
+    np.right_shift(x, _29, out=t)
+    x ^= t
+    return x
+
+
+def unaligned(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number (a view); behind the data are zeros."""
+    return np.ndarray(len(data) + 8, "<u8", np.concatenate([data, np.zeros(16, np.uint8)]).tobytes(), strides=(1,))
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, lanes: int = 1) -> list[np.ndarray]:
+    """One or two 64-bit hashes of each word, from its eight-byte pieces in turn; from its digest over 64 bytes."""
+    words = unaligned(data)
+    out = [size.astype(np.uint64) * _K[k] + _K[k + 2] for k in range(lanes)]
+    long = size > LONG_WORD
+    live = np.flatnonzero(~long & (size > 0))
+    done = 0
+    while len(live):
+        piece = words[start[live] + done] & _MASKS[np.minimum(size[live] - done, 8)]
+        for k in range(lanes):
+            out[k][live] = stirred(out[k][live], piece * _K[4 + k])
+        done += 8
+        live = live[size[live] > done]
+    if long.any():
+        at = np.flatnonzero(long)
+        raw = data.tobytes()
+        digests = b"".join(hashlib.blake2b(raw[a : a + n], digest_size=16).digest() for a, n in zip(start[at].tolist(), size[at].tolist(), strict=True))
+        for k, own in enumerate(np.frombuffer(digests, np.uint64).reshape(-1, 2).T[:lanes]):
+            out[k][at] = own
+    return out
+
+
 def prefix_hash(codes: np.ndarray) -> np.ndarray:
     """Sums of codes[i] * base**i before each place; see span_hash."""
     p, _ = powers(len(codes) + 1)
@@ -80,9 +127,9 @@ def pieces(offs: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int, in
 
 
 class Grid:
-    """The words of some documents: start and end bytes, hashes, first word of each document."""
+    """The words of some documents: start and end bytes, first word of each document, and lanes hashes of each."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False, hashed: bool = True, separators: np.ndarray = _SEP):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = False, lanes: int = 0, separators: np.ndarray = _SEP):
         self.data = data = data[offs[0] : offs[-1]]
         self.offs = offs = offs - offs[0]
         n = len(data)
@@ -99,10 +146,7 @@ class Grid:
         self.start = np.flatnonzero(full & ~before)
         self.end = np.flatnonzero(full & ~after) + 1
         self.first = np.searchsorted(self.start, offs)
-        if hashed:
-            prefix = self.prefix = prefix_hash((LOWER_CODE if lower else BYTE_CODE)[data])
-            size = self.end - self.start
-            self.hash = mix(span_hash(prefix, self.start, size) + size.astype(np.uint64))
+        self.lanes = word_hashes(_LOWER[data] if lower else data, self.start, self.end - self.start, lanes) if lanes else []
 
 
 def window_ends(bounds: np.ndarray, length: int) -> np.ndarray:

@@ -10,146 +10,73 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import discard, materialize
-from .textgrid import Grid, batch_text, mix, pieces, prefix_hash, span_hash, window_ends
+from .doubling import BLOCK_BYTES, gone_by_block, read_blocks
+from .textgrid import Grid, batch_text, pieces
 
+NAMES = ["doc_id", "n_words", "n_removed", "kept_sha256"]
+OUT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
-def window_hashes(words: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the `length` words from each place on (those that run out of the array are left out)."""
-    n = max(0, len(words) - length + 1)
-    return span_hash(prefix_hash(words), np.arange(n), length)
 
+def strip_words(grid: Grid, keep: np.ndarray) -> tuple[list[int], list[int], list[str]]:
+    """Words, removed words and the digest of the kept words of each document."""
+    raw, n, gone, digests = grid.data.tobytes(), [], [], []
+    for a, e in zip(grid.first[:-1], grid.first[1:], strict=True):
+        own = keep[a:e]
+        if own.all():
+            words = raw[grid.start[a] : grid.end[e - 1]].split() if e > a else []
+        else:
+            words = [raw[s:t] for s, t in zip(grid.start[a:e][own].tolist(), grid.end[a:e][own].tolist(), strict=True)]
+        n.append(int(e - a))
+        gone.append(int(e - a - own.sum()))
+        digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
+    return n, gone, digests
 
-def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
-    """Place of the least value (the first of equal ones) in each run of `width` values."""
-    n = len(values) - width + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    # minima of runs of doubling length, then two that overlap
-    at = np.arange(len(values))
-    size = 1
-    while size * 2 <= width:
-        a, b = at[: len(at) - size], at[size:]
-        at = np.where(values[b] < values[a], b, a)
-        size *= 2
-    a, b = at[:n], at[width - size : width - size + n]
-    return np.where(values[b] < values[a], b, a)
 
-
-def pick(hashes: np.ndarray, ok: np.ndarray, long_ok: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each long window (mask long_ok): its start, and the short window that stands for it, the one of
-    least hash among the `width` short windows inside. Equal long windows have equal ones at equal places."""
-    starts = np.flatnonzero(long_ok)
-    if not len(starts):
-        return starts, starts
-    ranked = np.where(ok[: len(hashes)], mix(hashes), np.uint64(2**64 - 1))
-    return starts, sliding_argmin(ranked, width)[starts]
-
-
-def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys that occur in several documents, with the smallest: partial sums before the shuffle."""
-    return df.groupBy(*keys).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(*keys, "low")
-
-
-def anchors(docs: DataFrame, short: int, length: int) -> DataFrame:
-    """Level one: (hash, doc_id, place) of the short windows that stand for some long window."""
-    width = length - short + 1
+def strip_blocks(blocks: DataFrame, length: int) -> DataFrame:
+    """One row a document of the blocks; gone: an array of (home, place, n), n neighbouring windows from a place on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offs = batch_text(b)
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            for lo, hi in pieces(offs):
-                g = Grid(data, offs[lo : hi + 1])
-                h = window_hashes(g.hash, short)
-                _, at = pick(h, window_ends(g.first, short), window_ends(g.first, length), width)
-                at = np.unique(at)
-                doc = np.searchsorted(g.first, at, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(ids[lo:hi][doc], pa.int64()), pa.array((at - g.first[doc]).astype(np.int32))], names=["h", "doc_id", "place"])
+            for i, block in read_blocks(b, length, True, lanes=0):
+                grid = block.words or Grid(block.data, np.zeros(len(block.size) + 1, np.int64))
+                step = np.zeros(len(grid.start) + 1, np.int32)
+                for span in b.column("gone")[i].as_py() or []:
+                    home, place, n = (np.array(span[c], np.int64) for c in ("gone_home", "gone_place", "gone_n"))
+                    np.add.at(step, grid.first[home] + place, 1)
+                    np.add.at(step, grid.first[home] + place + n + length - 1, -1)
+                n, gone, digests = strip_words(grid, np.cumsum(step[:-1]) == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(block.doc), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests, pa.string())], names=NAMES)
 
-    return docs.mapInArrow(run, "h long, doc_id long, place int")
+    return blocks.mapInArrow(run, OUT)
 
 
-def long_windows(marked: DataFrame, short: int, length: int) -> DataFrame:
-    """Level two: (h, h2, doc_id, place) of the long windows whose short one is repeated (column places)."""
-    width = length - short + 1
+def whole_texts(docs: DataFrame) -> DataFrame:
+    """The same for rows that lose nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = batch_text(b)
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            flat, list_at = np.asarray(b.column("places").flatten()), np.concatenate([[0], np.cumsum(np.asarray(b.column("places").value_lengths()))])
+            cols: list[list] = [[], [], []]
             for lo, hi in pieces(offs):
-                g = Grid(data, offs[lo : hi + 1])
-                starts, at = pick(window_hashes(g.hash, short), window_ends(g.first, short), window_ends(g.first, length), width)
-                hit = np.zeros(len(g.hash) + 1, bool)
-                hit[flat[list_at[lo] : list_at[hi]] + np.repeat(g.first[:-1], np.diff(list_at[lo : hi + 1]))] = True
-                starts = starts[hit[at]]
-                doc = np.searchsorted(g.first, starts, "right") - 1
-                h = window_hashes(g.hash, length)[starts]
-                h2 = window_hashes(mix(g.hash), length)[starts]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array((h2 >> np.uint64(32)).astype(np.int32)), pa.array(ids[lo:hi][doc], pa.int64()), pa.array((starts - g.first[doc]).astype(np.int32))], names=["h", "h2", "doc_id", "place"])
-
-    return marked.select("doc_id", "text", "places").mapInArrow(run, "h long, h2 int, doc_id long, place int")
+                grid = Grid(data, offs[lo : hi + 1])
+                for c, v in zip(cols, strip_words(grid, np.ones(len(grid.start), bool)), strict=True):
+                    c += v
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=NAMES)
 
+    return docs.mapInArrow(run, OUT)
 
-def strip(docs: DataFrame, length: int, marked: bool) -> DataFrame:
-    """n_words, n_removed and the digest of the kept words of each row; marked: places holds window starts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offs = batch_text(b)
-            places = b.column("places") if marked else None
-            cols: list[list] = [[], [], []]
-            for lo, hi in pieces(offs):
-                g = Grid(data, offs[lo : hi + 1], hashed=False)
-                raw = g.data.tobytes()
-                for k in range(hi - lo):
-                    a, e = g.first[k], g.first[k + 1]
-                    keep = np.ones(e - a, bool)
-                    if marked and places[lo + k].is_valid:
-                        step = np.zeros(e - a + 1, np.int32)
-                        at = np.asarray(places[lo + k].values)
-                        np.add.at(step, at, 1)
-                        np.add.at(step, at + length, -1)
-                        keep = np.cumsum(step[:-1]) == 0
-                        words = [raw[s:t] for s, t in zip(g.start[a:e][keep].tolist(), g.end[a:e][keep].tolist(), strict=True)]
-                    else:
-                        words = raw[g.offs[k] : g.offs[k + 1]].split()
-                    cols[0].append(int(e - a))
-                    cols[1].append(int(e - a - keep.sum()))
-                    cols[2].append(hashlib.sha256(b" ".join(words)).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
-
-    return docs.select("doc_id", "text", *["places"] * marked).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-
-
-def remove_repeated_words(docs: DataFrame, length: int = 50) -> DataFrame:
+def remove_repeated_words(docs: DataFrame, length: int = 50, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256: each word goes that a window of `length` words covers
     whose words also start in a document with a smaller doc_id.
 
-    Level one looks at windows of half the length; of those inside a full window, the one of least hash
-    stands for it, so that equal full windows are told by equal halves. Full windows are made only where
-    that half occurs in several documents, and those left that several documents hold decide. Texts go
-    through one shuffle; documents without a repeated half are answered from the scan.
+    Windows are looked at in levels: at a third of the length, sampled; at twice that, those left; and so on
+    up to the length, or until no candidate is left (see doubling). Words are told apart by 128 bits.
 
     Null texts have no words. Rows with a null doc_id lose nothing and cause nothing; rows that repeat a
     doc_id are one document for the comparison, and each gets an answer of its own.
     """
-    short = max(1, length // 2)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    own = docs.where(F.col("doc_id").isNotNull())
-    first = materialize(anchors(own, short, length), "halves")
-    # repeated keys are a table of their own: a join of two shuffled tables can split a key of many rows
-    again = materialize(repeated(first, ["h"]).select("h"), "repeated")
-    marks = first.join(again, "h").groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    marks = materialize(marks, "marks")
-    discard(first)
-    marked = materialize(own.join(marks, "doc_id"), "marked")
-    full = long_windows(marked, short, length)  # made twice: cheaper than to keep
-    shared = materialize(repeated(full, ["h", "h2"]), "shared")
-    later = full.join(shared, ["h", "h2"]).where("low < doc_id")
-    gone = materialize(later.groupBy("doc_id").agg(F.collect_set("place").alias("places")), "gone")
-    touched = strip(marked.drop("places").join(gone, "doc_id", "left"), length, True)
-    rest = strip(docs, length, False).join(marks.select("doc_id"), "doc_id", "left_anti")
-    return rest.unionByName(touched)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    blocks = gone_by_block(docs.where(F.col("doc_id").isNotNull()), length, True, block_bytes)
+    return strip_blocks(blocks, length).unionByName(whole_texts(docs.where(F.col("doc_id").isNull())))
