@@ -33,6 +33,7 @@ from .textgrid import _K, Grid, batch_text, mix, pieces, stirred, unaligned, win
 
 BLOCK_BYTES = 1_000_000
 BUCKET_BYTES = 16_000_000
+PART_BYTES = 4_000_000
 SCHEMA = "block long, raw binary, size array<int>, count array<int>, doc array<long>, home array<int>, start array<int>, alive binary, rank binary"
 #: Spans that go: the row of the block's first table, the first window's place in it, and how many windows.
 GONE = "gone_home array<int>, gone_place array<int>, gone_n array<int>"
@@ -317,14 +318,15 @@ def heard(b: pa.RecordBatch, name: str, i: int, kind: type) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Work:
-    """Symbols of a window, whether they are words, and into how many buckets (and partitions) the data go."""
+    """Symbols of a window, whether they are words, and into how many buckets and partitions the data go."""
 
     length: int
     words: bool
     buckets: int
+    parts: int
 
-    def joined(self, blocks: DataFrame, answers: DataFrame) -> DataFrame:
-        return blocks.repartition(self.buckets, "block").join(answers.repartition(self.buckets, "block"), "block")
+    def joined(self, blocks: DataFrame, answers: DataFrame, how: str = "inner") -> DataFrame:
+        return blocks.repartition(self.parts, "block").join(answers.repartition(self.parts, "block"), "block", how)
 
 
 def asked(blocks: DataFrame, ask: Ask, make: Make, work: Work, name: str) -> DataFrame:
@@ -348,7 +350,7 @@ def asked(blocks: DataFrame, ask: Ask, make: Make, work: Work, name: str) -> Dat
 
     sent = blocks.mapInArrow(send, "bucket long, block long, load binary").repartition(work.buckets, "bucket")
     met = sent.groupBy("bucket").applyInPandas(meet, "bucket long, block long, load binary")
-    return materialize(met.repartition(work.buckets, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "load")).alias("answers")), name)
+    return materialize(met.repartition(work.parts, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "load")).alias("answers")), name)
 
 
 def moved(blocks: DataFrame, take: Callable[..., tuple], ask: Ask, work: Work, gone: bool, name: str) -> DataFrame:
@@ -502,7 +504,7 @@ def gone_by_block(docs: DataFrame, length: int, words: bool, block_bytes: int =
     """docs (doc_id, text; no null ids) as blocks, with gone: an array of (gone_home, gone_place, gone_n)."""
     blocks = materialize(to_blocks(docs, block_bytes), "blocks", "zstd")
     total = blocks.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
-    work = Work(length, words, 1 + total // BUCKET_BYTES)
+    work = Work(length, words, 1 + total // BUCKET_BYTES, 1 + total // PART_BYTES)
     first, last = repeated_windows(blocks, work)
-    gone = first.unionByName(last).repartition(work.buckets, "block").groupBy("block").agg(F.collect_list(F.struct("gone_home", "gone_place", "gone_n")).alias("gone"))
-    return blocks.repartition(work.buckets, "block").join(gone, "block", "left")
+    gone = first.unionByName(last).repartition(work.parts, "block").groupBy("block").agg(F.collect_list(F.struct("gone_home", "gone_place", "gone_n")).alias("gone"))
+    return work.joined(blocks, gone, "left")
