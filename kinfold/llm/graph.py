@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import discard, materialize
+
+#: Links for which a salt more is taken.
+SALT_ROWS = 1_000_000
 
 
 def _state(links: DataFrame) -> tuple:
@@ -13,26 +16,35 @@ def _state(links: DataFrame) -> tuple:
     return r["n"], r["x"]
 
 
+def with_least(links: DataFrame, salts: int) -> DataFrame:
+    """(a, b, m): links with the smallest b of their a. The links of a hub are dealt by salt; only its minima
+    for each salt, `salts` rows at most, meet in one place."""
+    dealt = links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int"))
+    part = dealt.groupBy("a", "salt").agg(F.min("b").alias("m"))
+    low = part.groupBy("a").agg(F.min("m").alias("m"))
+    return dealt.join(part.select("a", "salt").join(low, "a"), ["a", "salt"]).drop("salt")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component_id): the smallest id that links (a, b) reach, for each id that has a link.
 
     Alternates two steps until the links stay the same: every node's larger neighbours are linked to its
     smallest one; every node's smaller neighbours likewise. A star with its smallest node is left of each
-    component. Each step pre-aggregates minima before its shuffle, so a hub with many links costs no
-    more than its rows. Links of a node with itself and nulls are ignored.
+    component. Links of a node with itself and nulls are ignored.
     """
     now = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     now = materialize(now, "links")
     seen = _state(now)
     while seen[0]:
+        salts = 16 + seen[0] // SALT_ROWS
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        now = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "links")
-        was, seen = seen, _state(now)
+        large = with_least(both, salts).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        small = with_least(large, salts)
+        stars = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        was, old = seen, now
+        now = materialize(stars.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "links")
+        discard(old)
+        seen = _state(now)
         if was == seen:
             break
     tail = now.select(F.col("a").alias("id"), F.col("b").alias("component_id"))

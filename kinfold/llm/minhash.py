@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .store import materialize
-from .textgrid import Grid, batch_text, mix, pieces
+from .textgrid import Grid, batch_text, mix, pieces, stirred
 
-UNIVERSE_BITS = 20
+#: Members of a family and their shingles in a block.
 BLOCK = 512
+BLOCK_SHINGLES = 500_000
+#: Pairs of one hub that meet its set in one place.
+HUB_ROWS = 500
 _MULT = np.uint64(0xD1342543DE82EF95)
 
 
@@ -40,20 +43,16 @@ def shingle_sets(grid: Grid, width: int) -> Iterator[np.ndarray]:
 
 class Circulant:
     """Signature coordinate k is the least pi(sigma(x) + k) over a set: one permutation places an element,
-    circular shifts of a second one give all coordinates."""
+    circular shifts of a second one give all coordinates. Both are bijections of 64 bits, by arithmetic."""
 
-    def __init__(self, coordinates: int, seed: int = 11):
-        size = 1 << UNIVERSE_BITS
-        pi = np.random.default_rng(seed).permutation(size).astype(np.uint32)
-        self.rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([pi, pi[:coordinates]]), coordinates)
-        self.mask = np.uint64(size - 1)
+    def __init__(self, coordinates: int):
+        self.shifts = np.arange(coordinates, dtype=np.uint64)
 
     def signature(self, hashes: np.ndarray) -> np.ndarray:
-        # sigma: a bijection of 64 bits, cut to the universe
-        at = (mix(hashes * _MULT) & self.mask).astype(np.int64)
-        out = self.rows[at[:4096]].min(axis=0)
-        for k in range(4096, len(at), 4096):
-            np.minimum(out, self.rows[at[k : k + 4096]].min(axis=0), out=out)
+        at = mix(hashes * _MULT)
+        out = np.full(len(self.shifts), np.uint64(2**64 - 1))
+        for k in range(0, len(at), 1024):
+            np.minimum(out, stirred(at[k : k + 1024, None] + self.shifts, self.shifts * 0).min(axis=0), out=out)
         return out
 
 
@@ -76,7 +75,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int = 5) -> DataFr
                     p = mix(s)
                     digest.append(p.sum().tobytes() + mix(s ^ salt[0]).sum().tobytes() + np.uint64(len(s)).tobytes())
                     key = salt.copy()
-                    for col in circulant.signature(s).reshape(bands, rows).T.astype(np.uint64):
+                    for col in circulant.signature(s).reshape(bands, rows).T:
                         key = mix(key * _MULT + col)
                     keys.append(key.view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
@@ -97,11 +96,15 @@ def full_sets(docs: DataFrame, width: int = 5) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * |A and B| >= percent * |A or B|, counted on full sets."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
+    """The pairs (a, b) with 100 * |A and B| >= percent * |A or B|, counted on full sets. a has many pairs
+    where it is a hub: they are dealt by salt, and its set goes to the salts that there are."""
+    hubs = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(HUB_ROWS))).cast("int").alias("salts"))
+    most = hubs.agg(F.max("salts")).first()[0] or 1
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(most)).cast("int"))
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")).join(salted.select("a", "salt").distinct(), "a")
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     near = F.least(F.size("sa"), F.size("sb")) * 100 >= F.greatest(F.size("sa"), F.size("sb")) * percent
-    both = pairs.join(left, "a").join(right, "b").where(near)
+    both = salted.join(right, "b").join(left, ["a", "salt"]).where(near)
     common = both.withColumn("n", F.size(F.array_intersect("sa", "sb")))
     return common.where(100 * F.col("n") >= percent * (F.size("sa") + F.size("sb") - F.col("n"))).select("a", "b")
 
@@ -140,16 +143,18 @@ def linked_blocks(percent: int):
     return run
 
 
-def cross_links(families: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def cross_links(families: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Links between the components of a family: all members outside its largest component against all its
-    members, in blocks of about `block` by `block` rows. families, comp: (id, component_id)."""
+    members, in blocks of about `block` rows and `shingles` shingles a side. families, comp: (id, component_id)."""
     member = families.select("id", F.col("component_id").alias("family")).join(comp.withColumnRenamed("component_id", "component"), "id", "left")
     member = member.withColumn("component", F.coalesce("component", "id"))
-    sized = member.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
-    shape = sized.groupBy("family").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main"))
-    blocks = lambda n: F.ceil(n / F.lit(float(block))).cast("int")
-    shape = shape.where("all > main.n").select("family", F.col("main.component").alias("main"), blocks(F.col("all") - F.col("main.n")).alias("nl"), blocks(F.col("all")).alias("nr"))
-    rows = materialize(member.join(materialize(shape, "families"), "family"), "members").join(sets.withColumnRenamed("doc_id", "id"), "id")
+    member = member.join(sets.select(F.col("doc_id").alias("id"), F.size("shingles").alias("size")), "id")
+    sized = member.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    shape = sized.groupBy("family").agg(F.sum("n").alias("all"), F.sum("size").alias("size"), F.max(F.struct("n", "component", "size")).alias("main"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / F.lit(float(block))), F.ceil(size / F.lit(float(shingles)))).cast("int")
+    left_side = blocks(F.col("all") - F.col("main.n"), F.col("size") - F.col("main.size"))
+    shape = shape.where("all > main.n").select("family", F.col("main.component").alias("main"), left_side.alias("nl"), blocks(F.col("all"), F.col("size")).alias("nr"))
+    rows = materialize(member.drop("size").join(materialize(shape, "families"), "family"), "members").join(sets.withColumnRenamed("doc_id", "id"), "id")
     own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = rows.where("component <> main").withColumn("l", own("nl")).withColumn("r", every("nr")).select("family", "l", "r", "id", "component", "shingles")
