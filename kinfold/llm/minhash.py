@@ -198,8 +198,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, bands: i
     pairs = materialize(bucket.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = materialize(verified(pairs, sets, percent), "verified")
     comp = materialize(components(links), "components")
-    links = links.unionByName(cross_links(components(pairs), comp, sets, percent))
-    comp = materialize(components(links), "components")
+    # stars of what is linked so far, and links between them
+    stars = comp.select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+    more = stars.unionByName(cross_links(components(pairs), comp, sets, percent))
+    comp = materialize(components(more), "components")
 
     of_class = classes.select("digest", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
     out = sig.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
