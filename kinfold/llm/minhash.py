@@ -64,8 +64,8 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int = 5) -> DataFr
         salt = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for b in batches:
             data, offs = batch_text(b)
-            size, digest, keys = [], [], []
             for lo, hi in pieces(offs):
+                size, digest, keys = [], [], []
                 for s in shingle_sets(Grid(data, offs[lo : hi + 1], lower=True, lanes=1), width):
                     size.append(len(s))
                     if not len(s):
@@ -78,7 +78,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int = 5) -> DataFr
                     for col in circulant.signature(s).reshape(bands, rows).T:
                         key = mix(key * _MULT + col)
                     keys.append(key.view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[lo:hi], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
@@ -89,8 +89,11 @@ def full_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = batch_text(b)
-            sets = [s.view(np.int64) for lo, hi in pieces(offs) for s in shingle_sets(Grid(data, offs[lo : hi + 1], lower=True, lanes=1), width)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            for lo, hi in pieces(offs):
+                sets = [s.view(np.int64) for s in shingle_sets(Grid(data, offs[lo : hi + 1], lower=True, lanes=1), width)]
+                at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id")[lo:hi], lists], names=["doc_id", "shingles"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")
 
