@@ -44,7 +44,12 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
     head, at = _header(raw, 2 if bitmap else 3)
     width, height, most = head[0], head[1], 1 if bitmap else head[2]
     shape = (height, width, 3) if colour else (height, width)
-    n = int(np.prod(shape))
+    n = width * height * (3 if colour else 1)
+    if not n or not 0 < most < 65536:
+        raise ValueError("bad Netpbm size or depth")
+    # bytes that the samples take at least; a plain sample of more than one digit is parted from the next
+    if (height * ((width + 7) // 8) if kind == b"P4" else n if plain or most < 256 else 2 * n) > len(raw) - at + (1 if plain else 0):
+        raise ValueError("truncated Netpbm image")
     if plain:
         body = b"\n".join(line.split(b"#")[0] for line in raw[at - 1 :].split(b"\n"))
         flat = np.array([int(c) for c in body.decode() if c in "01"] if bitmap else body.split(), np.int64)[:n]
@@ -79,6 +84,8 @@ def decode_bmp(raw: bytes) -> np.ndarray:
     if head < 40 or bits not in (1, 4, 8, 16, 24, 32) or not (packed == 0 or packed == 3 and bits in (16, 32)):
         raise ValueError("BMP kind not supported")
     stride = (width * bits + 31) // 32 * 4
+    if width < 1 or not height or stride * abs(height) > len(raw):
+        raise ValueError("bad BMP size or truncated image")
     rows = np.frombuffer(raw, np.uint8, stride * abs(height), at).reshape(abs(height), stride)
     rows = rows[::-1] if height > 0 else rows
     if bits <= 8:
@@ -151,6 +158,14 @@ def npy_tiles(image: np.ndarray, size: int = 64) -> list[tuple[int, int, bytes]]
     return out
 
 
+def from_tiles(tiles: list[tuple[int, int, bytes]]) -> np.ndarray:
+    """The image that npy_tiles() cut."""
+    rows: dict[int, list[np.ndarray]] = {}
+    for r, _, raw in tiles:
+        rows.setdefault(r, []).append(np.load(io.BytesIO(raw), allow_pickle=False))
+    return np.concatenate([np.concatenate(row, axis=1) for row in rows.values()])
+
+
 def media_tiles(df: DataFrame, column: str, keep: list[str], target: tuple[int, int] | None = None, size: int = 64) -> DataFrame:
     """One row a tile: the kept columns, media_height, media_width, media_hash, tile_row, tile_col, tile_npy, media_error.
 
@@ -160,11 +175,12 @@ def media_tiles(df: DataFrame, column: str, keep: list[str], target: tuple[int,
     """
     fields = "media_height int, media_width int, media_hash string, tile_row int, tile_col int, tile_npy binary, media_error string"
     kept = df.select(*[F.col(k) for k in keep]).schema
+    cell = "_".join(["media", *keep])  # unlike any of them
     names = [*keep, *[f.split()[0] for f in fields.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, raw in enumerate(b.column("_media").to_pylist()):
+            for k, raw in enumerate(b.column(cell).to_pylist()):
                 own = [b.column(c)[k].as_py() for c in keep]
                 try:
                     if not raw:
@@ -173,7 +189,7 @@ def media_tiles(df: DataFrame, column: str, keep: list[str], target: tuple[int,
                     if target:
                         img = np.clip(np.rint(area_resize(img, *target)), 0, 65535).astype(img.dtype)
                     rows = [(*own, *img.shape[:2], difference_hash(img), *t, None) for t in npy_tiles(img, size)]
-                except (ValueError, IndexError) as e:
+                except (ValueError, IndexError, OverflowError) as e:
                     rows = [(*own, None, None, None, None, None, None, str(e))]
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=out_arrow)
 
@@ -182,33 +198,36 @@ def media_tiles(df: DataFrame, column: str, keep: list[str], target: tuple[int,
 
     out = StructType(kept.fields + StructType.fromDDL(fields).fields)
     out_arrow = to_arrow_schema(out)
-    return df.select(*[F.col(k) for k in keep], F.col(column).alias("_media")).mapInArrow(run, out)
+    return df.select(*[F.col(k) for k in keep], F.col(column).alias(cell)).mapInArrow(run, out)
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Each whole text as a lossless PGM of 64 samples a row, read back, with its digests and features.
+    """Each whole text as a lossless PGM of 64 samples a row, decoded, cut into NPY tiles of 64 rows and read
+    back from these, with the digests and features of what came back.
 
     Null and empty texts become one row of zeros. doc_id may be null or repeated: each row in gives one
-    row out. feature holds the image's height and its difference hash.
+    row out. feature holds the image's height and its difference hash; tiles_sha256 is of all tiles' bytes in turn.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
-            cols: list[list] = [[] for _ in range(7)]
+            texts = b.column("text").cast(pa.large_string()).cast(pa.large_binary())
+            rows = []
             for t in texts:
-                raw = t or b""
+                raw = t.as_py() or b""
                 padded = raw + bytes(-len(raw) % WIDTH or (0 if raw else WIDTH))
                 stored = encode_pgm(np.frombuffer(padded, np.uint8).reshape(-1, WIDTH))
-                image = decode(stored)
+                tiles = npy_tiles(decode(stored), WIDTH)
+                image = from_tiles(tiles)
                 back = image.tobytes()
                 feature = f"{image.shape[0]}:{difference_hash(image)}"
-                for c, v in zip(cols, (len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(stored), hashlib.sha256(stored).hexdigest(), feature), strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *map(pa.array, cols)], names=names) if texts else pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], names=names)
+                digests = [hashlib.sha256(x).hexdigest() for x in (back, stored, b"".join(t for _, _, t in tiles))]
+                rows.append((len(raw), len(back), digests[0], zlib.crc32(back[-WIDTH:]), len(stored), digests[1], feature, len(tiles), digests[2]))
+            cols = [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], names=names)
 
     i, s = pa.int64(), pa.string()
-    kinds = [i, i, s, i, i, s, s]
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ddl)
+    kinds = [i, i, s, i, i, s, s, i, s]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_tiles", "tiles_sha256"]
+    ddl = ", ".join(f"{n} {'string' if t == s else 'long'}" for n, t in zip(names, [i, *kinds], strict=True))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ddl)

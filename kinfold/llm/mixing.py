@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -13,20 +14,30 @@ from .hashedwords import BITS, Features, group_sums
 from .store import materialize
 from .textgrid import Grid, batch_text, pieces
 
-#: Bounds of the training sample: labelled rows of each domain, first bytes of a text in it, domains.
+#: Bounds of the training sample: labelled documents of each domain, domains.
 SAMPLE_ROWS = 400
-SAMPLE_BYTES = 40_000
 DOMAINS = 64
 SHARPNESS = 12.0
 ROUNDS = 8
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, weighted: Iterable[str] = (), sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[str], np.ndarray]:
+def word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """domain, word (its hash), n of whole texts."""
+    for b in batches:
+        data, offs = batch_text(b)
+        for lo, hi in pieces(offs):
+            f = Features(data, offs[lo : hi + 1])
+            for k in range(hi - lo):
+                word, n = np.unique(f.index[0][f.grid.first[k] : f.grid.first[k + 1]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([b.column("domain")[lo + k].as_py()] * len(word), pa.string()), pa.array(word, pa.int32()), pa.array(n, pa.int64())], names=["domain", "word", "n"])
+
+
+def fit_domains(docs: DataFrame, labelled: DataFrame, weighted: Iterable[str] = (), sample_rows: int = SAMPLE_ROWS) -> tuple[list[str], np.ndarray]:
     """Domains and their smoothed log word rates, from a bounded sample of the documents that labelled
     (doc_id, domain) names.
 
     The domains are those of all labelled rows of docs with an id and a domain. Each domain's rows with words of
-    least id hash are learnt from, a text over sample_bytes by the whole words of its first sample_bytes. A domain
+    least id hash are learnt from, whole texts of any length, by their words' counts. A domain
     of weighted without such a row is an error, unless docs has no labelled row at all; one without weight is left
     out. Texts are read for the sample's ids only.
     """
@@ -47,15 +58,12 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, weighted: Iterable[str] =
         for name in names:
             part = rows.where((F.col("domain") == name) & F.col("usable")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
             picked = part if picked is None else picked.unionByName(part)
-        head = F.substring(F.col("text").cast("string").cast("binary"), 1, sample_bytes + 1)
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), head.alias("head")).where("head is not null")
-        for r in texts.join(F.broadcast(picked), "doc_id").collect():  # sample_rows ids a domain at most
-            raw = bytes(r["head"])
-            if len(raw) > sample_bytes:
-                end = max(raw.rfind(c) for c in b" \t\n\v\f\r")
-                raw = raw[: end if end > 0 else sample_bytes]
-            f = Features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
-            counts[names.index(r["domain"])] += np.bincount(f.index[0], minlength=1 << BITS)
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+        sample = texts.join(F.broadcast(picked), "doc_id").select("domain", "text")  # sample_rows ids a domain at most
+        words = sample.mapInArrow(word_counts, "domain string, word int, n long").groupBy("domain", "word").agg(F.sum("n").alias("n"))
+        for part in words.toArrow().to_batches():  # 2**BITS rows a domain at most
+            row = np.searchsorted(names, part.column("domain").to_pylist())
+            np.add.at(counts, (row, part.column("word").to_numpy()), part.column("n").to_numpy())
     rate = (counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * (1 << BITS))
     return names, np.log(rate / rate.mean(axis=0)) if names else rate
 
@@ -105,7 +113,10 @@ def fit_rates(scored: DataFrame, targets: np.ndarray, rounds: int = 40, toleranc
     for k in range(rounds + 1):
         total = np.array(now.agg(*[F.coalesce(F.sum(rate * s), F.lit(0.0)) for s in share]).first(), float)
         gap = total - targets
-        if np.abs(gap).max() <= tolerance * max(1.0, np.abs(targets).max()) or k == rounds:
+        if np.abs(gap).max() <= tolerance * max(1.0, np.abs(targets).max()):
+            break
+        if k == rounds:
+            warnings.warn(f"rates miss the targets by {np.abs(gap).max():.6g} tokens after {rounds} rounds", stacklevel=2)
             break
         move = inverse @ gap
         down = sum((s * F.lit(float(m)) for s, m in zip(share, move, strict=True)), F.lit(0.0))
@@ -148,6 +159,7 @@ def resample(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], to
 
     Rows that repeat a doc_id are all repeated as often as the one with most copies.
     """
-    mixed = mix(docs, labelled, weights, total).where("copies > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies"))
-    rows = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["_id"])).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
-    return rows.drop("_copy")
+    key, times, copy = (name + "_".join(docs.columns) for name in ("id_", "times_", "copy_"))  # unlike any column
+    mixed = mix(docs, labelled, weights, total).where("copies > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(times))
+    rows = docs.join(mixed, docs["doc_id"].cast("long").eqNullSafe(mixed[key])).select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy))
+    return rows.drop(copy)

@@ -86,18 +86,32 @@ class CountedText:
     def __init__(self, text: str, counter: PieceCounter):
         self.text, self.counter = text, counter
         found = counter.find(text)
-        self.start = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
-        self.tree = SegmentTree(np.array(counter.counts(found), np.int64))
+        self._set(np.fromiter(map(len, found), np.int64, len(found)), np.array(counter.counts(found), np.int64))
         self.encoded = 0
 
+    def _set(self, sizes: np.ndarray, counts: np.ndarray) -> None:
+        self.sizes, self.counts = sizes, counts
+        self.start = np.concatenate([[0], np.cumsum(sizes)])
+        self.tree = SegmentTree(counts)
+        self.regions: list[tuple[int, int, list[int], list[int]]] = []
+
+    def _settle(self) -> None:
+        """Puts the pre-tokens of the edits before in the place of those they replaced; nothing is encoded."""
+        sizes, counts, done = [], [], 0
+        for leaf, last, own_sizes, own_counts in self.regions:
+            sizes += [self.sizes[done:leaf], np.array(own_sizes, np.int64)]
+            counts += [self.counts[done:leaf], np.array(own_counts, np.int64)]
+            done = max(leaf, last)
+        self._set(np.concatenate([*sizes, self.sizes[done:]]), np.concatenate([*counts, self.counts[done:]]))
+
     def total(self) -> int:
         return self.tree.total()
 
     def apply(self, edits: list[tuple[int, int, str]]) -> str:
-        """Replaces the character ranges [a, b) of the text, ascending and disjoint; returns the new text.
-
-        One call for a text: its boundaries afterwards are those of the text before.
-        """
+        """Replaces the character ranges [a, b) of the text as it now is, ascending and disjoint; returns the
+        new text. Edits may come in any number of calls."""
+        if self.regions:
+            self._settle()
         parts, done = [], 0
         for a, b, new in edits:
             parts += [self.text[done:a], new]
@@ -123,7 +137,9 @@ class CountedText:
                         break
             else:
                 k = len(edits)
-            count = sum(self.counter.counts(pieces))
+            counts = self.counter.counts(pieces)
+            count = int(sum(counts))
+            self.regions.append((leaf, last, [len(p) for p in pieces], list(counts)))
             self.encoded += len(pieces)
             if not n:
                 self.tree = SegmentTree(np.array([count]))
@@ -136,6 +152,7 @@ class CountedText:
                 joined[leaf] = joined.get(leaf, 0) + count
                 self.tree.update(at, self.tree.levels[0][at : at + 1] + count)
             settled = last
+        self.text = text
         return text
 
 

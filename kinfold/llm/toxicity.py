@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from .hashedwords import BITS, Features, group_sums
 from .textgrid import batch_text, pieces
 
-#: Bounds of the training sample: rows of each label, and bytes of a text in it.
+#: Bounds of the training sample: rows of each label, and bytes of all its texts.
 SAMPLE_ROWS = 2500
-SAMPLE_BYTES = 40_000
+SAMPLE_BYTES = 24_000_000
 #: Text whose features are made at a time in training.
 TRAIN_BYTES = 500_000
 
@@ -76,18 +76,28 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Model:
-    """Trains on at most sample_rows labelled rows of each label, those of least id hash.
+    """Trains on at most sample_rows labelled rows of each label, those of least id hash, whose whole texts
+    come to sample_bytes at most: a text that would go beyond is passed over, whatever its length.
 
-    Rows held out, null labels and texts over sample_bytes take no part in training. A document whose
-    label rows disagree counts as toxic. Weights restore the labels' shares over the whole table.
+    Rows held out and null labels take no part in training. A document whose label rows disagree counts as
+    toxic; of rows that repeat a doc_id the text that sorts last is taken. Weights restore the labels' shares
+    over the whole table.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for y in (0, 1)]
     picked = picked[0].unionByName(picked[1])
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= sample_bytes)
-    rows = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic").collect()  # 2 * sample_rows ids at most
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    sample = texts.join(F.broadcast(picked), "doc_id")  # 2 * sample_rows ids at most
+    sizes = sample.groupBy("doc_id").agg(F.max(F.octet_length("text")).alias("n"), F.xxhash64("doc_id").alias("h")).collect()
+    fit_in, left = [], sample_bytes
+    for r in sorted(sizes, key=lambda r: (r["h"], r["doc_id"])):
+        if r["n"] <= left:
+            left -= r["n"]
+            fit_in.append((r["doc_id"],))
+    within = docs.sparkSession.createDataFrame(fit_in, "doc_id long")
+    rows = sample.join(F.broadcast(within), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     # copies of one text say no more than one of them
     once = {r["text"]: r["toxic"] for r in sorted(rows, key=lambda r: (r["doc_id"], r["text"]))}
     y = np.array(list(once.values()), np.int64)
@@ -97,6 +107,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     return train([t.encode() for t in once], y, share * len(y) / share.sum())
 
 
+def sentence_scores(f: Features, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Each sentence's probability, and each document's: the noisy-or of its sentences."""
+    z = model.bias + f.sums(model.weights)
+    total = -np.expm1(group_sums(-np.logaddexp(0, z), f.doc))
+    return 1 / (1 + np.exp(-np.clip(z, -700, 700))), np.clip(total, 0.0, 1.0)
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, n_sentences, n_offending (sentences of 0.5 or more), worst_start, worst_end, worst_score.
 
@@ -110,16 +127,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             cols: list[list] = [[] for _ in range(6)]
             for lo, hi in pieces(offs):
                 f = Features(data, offs[lo : hi + 1])
-                z = np.clip(model.bias + f.sums(model.weights), -30, 30)
-                p = 1 / (1 + np.exp(-z))
-                total = -np.expm1(group_sums(np.log1p(-p), f.doc))
+                p, total = sentence_scores(f, model)
                 bad = group_sums((p >= 0.5).astype(float), f.doc)
                 ends = np.append(f.sentence[1:], f.index.shape[1]) - 1
                 for k in range(hi - lo):
                     a, e = f.doc[k], f.doc[k + 1]
                     worst = a + int(np.argmax(p[a:e])) if e > a else None
                     base = f.grid.offs[k]
-                    row = (float(min(max(total[k], 0.0), 1.0)), int(e - a), int(bad[k]), *((None,) * 3 if worst is None else (int(f.grid.start[f.sentence[worst]] - base), int(f.grid.end[ends[worst]] - base), float(p[worst]))))
+                    row = (float(total[k]), int(e - a), int(bad[k]), *((None,) * 3 if worst is None else (int(f.grid.start[f.sentence[worst]] - base), int(f.grid.end[ends[worst]] - base), float(p[worst]))))
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
             kinds = [pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
@@ -148,8 +163,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
             clean = []
             for lo, hi in pieces(offs):
                 f = Features(data, offs[lo : hi + 1])
-                z = np.clip(model.bias + f.sums(model.weights), -30, 30)
-                clean.append(-np.expm1(group_sums(-np.logaddexp(0, z), f.doc)) < 0.5)
+                clean.append(sentence_scores(f, model)[1] < 0.5)
             yield b.filter(pa.array(np.concatenate(clean) if clean else np.zeros(0, bool)))
 
     return docs.mapInArrow(run, docs.schema)
