@@ -48,69 +48,120 @@ def sims(index: Index, a: str, b: str) -> DataFrame:
     return index.sim.select("attr_id", F.col("v1").alias(a), F.col("v2").alias(b), "exp_sim")
 
 
-def observed(state: ChainState) -> DataFrame:
-    """Observed cells with their record's entity and partition."""
+def by_attribute(rows: DataFrame, key: str, count: int, prefix: str, *columns: str) -> DataFrame:
+    """(key, prefix0, prefix1, …): the columns of the key's row of each attribute, as structs; null without one."""
+    cell = F.struct(*columns)
+    return rows.groupBy(key).agg(*[F.max(F.when(F.col("attr_id") == k, cell)).alias(f"{prefix}{k}") for k in range(count)])
+
+
+def entity_rows(state: ChainState) -> DataFrame:
+    """(ent_id, partition_id, e0, e1, …): an entity in a row, with value y and its norm ny by attribute."""
+    rows = state.entities.withColumnRenamed("value_id", "y").join(domain_part(state.index, "y", "py", "ny"), ["attr_id", "y"])
+    return by_attribute(rows, "ent_id", len(state.index.attributes), "e", "y", "ny").join(state.parts, "ent_id")
+
+
+def record_rows(state: ChainState) -> DataFrame:
+    """(rec_id, partition_id, r0, r1, …): a record in a row, by attribute its observed value x, whether it is
+    sure (not distorted), theta and px. s0, s1, …: exp_sim of x by the other value, unless constant."""
+    near = state.index.sim.select("attr_id", F.col("v2").alias("x"), F.struct(F.col("v1"), F.col("exp_sim")).alias("e"))
+    near = near.groupBy("attr_id", "x").agg(F.map_from_entries(F.collect_list("e")).alias("sims"))
+    cells = state.cells.where("value_id is not null").select("rec_id", "file_id", "attr_id", F.col("value_id").alias("x"), (~F.col("distorted")).alias("sure"))
+    rows = cells.join(domain_part(state.index, "x", "px", "nx"), ["attr_id", "x"]).join(state.theta, ["attr_id", "file_id"])
+    count = len(state.index.attributes)
+    wide = by_attribute(rows, "rec_id", count, "r", "x", "sure", "theta", "px")
+    for k, a in enumerate(state.index.attributes):
+        if not a.is_constant:
+            own = near.where(F.col("attr_id") == k).select(F.col("x").alias(f"x{k}"), F.col("sims").alias(f"s{k}"))
+            wide = wide.withColumn(f"x{k}", F.col(f"r{k}.x")).join(own, f"x{k}", "left").drop(f"x{k}")
+    # records without an observed value have a row, too
     own = state.links.join(state.parts, "ent_id").select("rec_id", "partition_id")
-    return state.cells.where("value_id is not null").join(own, "rec_id")
+    return own.join(wide, "rec_id", "left")
+
+
+def agreeing(state: ChainState) -> Column:
+    """Whether an entity's row has all sure values of a record's row."""
+    out = F.lit(True)
+    for k in range(len(state.index.attributes)):
+        out = out & (~F.coalesce(F.col(f"r{k}.sure"), F.lit(False)) | (F.col(f"r{k}.x") == F.col(f"e{k}.y")))
+    return out
+
+
+def likeness(state: ChainState, k: int) -> Column:
+    """sim_norm(y) * exp_sim(y, x); 1 for a constant attribute."""
+    if state.index.attributes[k].is_constant:
+        return F.lit(1.0)
+    return F.col(f"e{k}.ny") * F.coalesce(F.element_at(f"s{k}", F.col(f"e{k}.y")), F.lit(1.0))
+
+
+def total(columns: list[Column]) -> Column:
+    out = F.lit(0.0)
+    for c in columns:
+        out = out + F.coalesce(c, F.lit(0.0))
+    return out
+
+
+def distorted_log_weight(state: ChainState) -> Column:
+    """Log of the product over observed distorted attributes of prob(x) times likeness, for a joined row."""
+    return total([F.when(~F.col(f"r{k}.sure"), F.log(F.col(f"r{k}.px")) + F.log(likeness(state, k))) for k in range(len(state.index.attributes))])
+
+
+def collapsed_log_weight(state: ChainState) -> Column:
+    """The same over all observed attributes, with the distortions summed out."""
+    out = []
+    for k in range(len(state.index.attributes)):
+        r = lambda name, k=k: F.col(f"r{k}.{name}")
+        kept = F.when(r("x") == F.col(f"e{k}.y"), 1 - r("theta")).otherwise(F.lit(0.0))
+        out.append(F.when(r("x").isNotNull(), F.log(kept + r("theta") * r("px") * likeness(state, k))))
+    return total(out)
+
+
+def candidate_rows(state: ChainState) -> DataFrame:
+    """Records' rows with those of the partition's entities that agree with all their sure values; with all of
+    the partition's for records without one. A record is looked up by its rarest sure value alone."""
+    ents, recs, count = entity_rows(state), record_rows(state), len(state.index.attributes)
+    listed = ents.withColumn("at", F.explode(F.array(*[F.struct(F.lit(k).alias("attr"), F.col(f"e{k}.y").alias("value")) for k in range(count)])))
+    sizes = listed.groupBy("partition_id", "at").agg(F.count(F.lit(1)).alias("size"))
+    sure = F.filter(F.array(*[F.when(F.col(f"r{k}.sure"), F.struct(F.lit(k).alias("attr"), F.col(f"r{k}.x").alias("value"))) for k in range(count)]), lambda c: c.isNotNull())
+    keyed = recs.withColumn("sure", sure)
+    ways = keyed.select("rec_id", "partition_id", F.explode("sure").alias("at")).join(sizes, ["partition_id", "at"], "left")
+    # a value that no entity has is the rarest of all: it leaves the record without candidates
+    rarest = ways.groupBy("rec_id").agg(F.min(F.struct(F.coalesce("size", F.lit(0)).alias("size"), "at")).alias("way")).select("rec_id", F.col("way.at").alias("at"))
+    met = recs.join(rarest, "rec_id").join(listed, ["partition_id", "at"]).drop("at").where(agreeing(state))
+    free = keyed.where(F.size("sure") == 0).drop("sure").join(ents, "partition_id")
+    return met.unionByName(free)
+
+
+def scanned_rows(state: ChainState) -> DataFrame:
+    """Records' rows with those of all entities of their partition."""
+    return record_rows(state).join(entity_rows(state), "partition_id")
 
 
 def candidates(state: ChainState) -> DataFrame:
     """(rec_id, partition_id, ent_id): entities of the record's partition that agree with each of its observed,
     not distorted values; all of the partition's where it has none."""
-    cells = observed(state).where("not distorted").select("rec_id", "partition_id", "attr_id", "value_id")
-    need = cells.groupBy("rec_id").agg(F.count(F.lit(1)).alias("need"))
-    listed = state.entities.join(state.parts, "ent_id")
-    met = cells.join(listed, ["partition_id", "attr_id", "value_id"]).groupBy("rec_id", "partition_id", "ent_id").agg(F.count(F.lit(1)).alias("n"))
-    agree = met.join(need, "rec_id").where("n = need").select("rec_id", "partition_id", "ent_id")
-    free = state.links.join(need, "rec_id", "left_anti").join(state.parts, "ent_id").select("rec_id", "partition_id")
-    return agree.unionByName(free.join(state.parts, "partition_id").select("rec_id", "partition_id", "ent_id"))
-
-
-def distorted_log_weight(state: ChainState, pairs: DataFrame) -> DataFrame:
-    """(rec_id, ent_id, lw): log of the product over observed distorted attributes of prob(x), times
-    sim_norm(y) * exp_sim(y, x) unless constant; 0 without such attributes."""
-    cells = state.cells.where("value_id is not null and distorted").select("rec_id", "attr_id", F.col("value_id").alias("x"))
-    rows = pairs.join(cells, "rec_id").join(state.entities.withColumnRenamed("value_id", "y"), ["ent_id", "attr_id"])
-    rows = rows.join(domain_part(state.index, "x", "px", "nx"), ["attr_id", "x"]).join(domain_part(state.index, "y", "py", "ny"), ["attr_id", "y"])
-    rows = rows.join(sims(state.index, "y", "x"), ["attr_id", "y", "x"], "left")
-    like = F.when(state.constant, F.lit(0.0)).otherwise(F.log("ny") + F.log(F.coalesce("exp_sim", F.lit(1.0))))
-    sums = rows.groupBy("rec_id", "ent_id").agg(F.sum(F.log("px") + like).alias("lw"))
-    return pairs.join(sums, ["rec_id", "ent_id"], "left").select("rec_id", "ent_id", F.coalesce("lw", F.lit(0.0)).alias("lw"))
+    return candidate_rows(state).select("rec_id", "partition_id", "ent_id")
 
 
-def draw_link(state: ChainState, weighted: DataFrame) -> DataFrame:
+def draw_link(state: ChainState, rows: DataFrame, log_weight: Column) -> DataFrame:
+    """One entity of each record; a pair's weight and its draw are made where the pair is, and only the best of
+    each record so far goes on."""
+    weighted = rows.select("rec_id", "ent_id", log_weight.alias("lw"))
     return categorical(weighted, ["rec_id"], "ent_id", "lw", uniform(state.seed, state.iteration, "link", "rec_id", "ent_id"))
 
 
 def links_by_candidates(state: ChainState) -> DataFrame:
     """Link update through the inverted index."""
-    return draw_link(state, distorted_log_weight(state, candidates(state).select("rec_id", "ent_id")))
-
-
-def in_partition(state: ChainState) -> DataFrame:
-    own = state.links.join(state.parts, "ent_id").select("rec_id", "partition_id")
-    return own.join(state.parts, "partition_id").select("rec_id", "ent_id")
+    return draw_link(state, candidate_rows(state), distorted_log_weight(state))
 
 
 def links_by_scan(state: ChainState) -> DataFrame:
     """Link update over all entities of the partition: those that contradict a value that isn't distorted have weight 0."""
-    pairs = in_partition(state)
-    sure = state.cells.where("value_id is not null and not distorted").select("rec_id", "attr_id", F.col("value_id").alias("x"))
-    wrong = pairs.join(sure, "rec_id").join(state.entities.withColumnRenamed("value_id", "y"), ["ent_id", "attr_id"]).where("x <> y").select("rec_id", "ent_id").distinct()
-    return draw_link(state, distorted_log_weight(state, pairs.join(wrong, ["rec_id", "ent_id"], "left_anti")))
+    return draw_link(state, scanned_rows(state).where(agreeing(state)), distorted_log_weight(state))
 
 
 def links_collapsed(state: ChainState) -> DataFrame:
     """Link update with the distortions summed out, over all entities of the partition."""
-    cells = state.cells.where("value_id is not null").select("rec_id", "file_id", "attr_id", F.col("value_id").alias("x"))
-    pairs = in_partition(state)
-    rows = pairs.join(cells, "rec_id").join(state.entities.withColumnRenamed("value_id", "y"), ["ent_id", "attr_id"])
-    rows = rows.join(domain_part(state.index, "x", "px", "nx"), ["attr_id", "x"]).join(domain_part(state.index, "y", "py", "ny"), ["attr_id", "y"])
-    rows = rows.join(sims(state.index, "y", "x"), ["attr_id", "y", "x"], "left").join(F.broadcast(state.theta), ["attr_id", "file_id"])
-    like = F.when(state.constant, F.lit(1.0)).otherwise(F.col("ny") * F.coalesce("exp_sim", F.lit(1.0)))
-    w = F.when(F.col("x") == F.col("y"), 1 - F.col("theta")).otherwise(F.lit(0.0)) + F.col("theta") * F.col("px") * like
-    sums = rows.groupBy("rec_id", "ent_id").agg(F.sum(F.log(w)).alias("lw"))
-    return draw_link(state, pairs.join(sums, ["rec_id", "ent_id"], "left").select("rec_id", "ent_id", F.coalesce("lw", F.lit(0.0)).alias("lw")))
+    return draw_link(state, scanned_rows(state), collapsed_log_weight(state))
 
 
 def linked_cells(state: ChainState) -> DataFrame:
