@@ -232,7 +232,7 @@ def values_by_scan(state: ChainState) -> DataFrame:
 
 def values_collapsed(state: ChainState) -> DataFrame:
     """Value update with the distortions summed out, by perturbing the base."""
-    linked = linked_cells(state).join(F.broadcast(state.theta), ["attr_id", "file_id"]).join(domain_part(state.index, "x", "px", "nx"), ["attr_id", "x"])
+    linked = linked_cells(state).join(state.theta, ["attr_id", "file_id"]).join(domain_part(state.index, "x", "px", "nx"), ["attr_id", "x"])
     odds = (1 / F.col("theta") - 1) / F.col("px")
     flat = linked.where(state.constant).select("ent_id", "attr_id", F.col("x").alias("v"), F.log(1 + odds).alias("f"))
     near = linked.where(~state.constant).join(sims(state.index, "x", "v"), ["attr_id", "x"])
@@ -244,7 +244,7 @@ def values_collapsed(state: ChainState) -> DataFrame:
 def distortions(state: ChainState) -> DataFrame:
     """(rec_id, file_id, attr_id, value_id, distorted) given links, values and theta."""
     rows = state.cells.select("rec_id", "file_id", "attr_id", F.col("value_id").alias("x")).join(state.links, "rec_id")
-    rows = rows.join(state.entities.withColumnRenamed("value_id", "y"), ["ent_id", "attr_id"]).join(F.broadcast(state.theta), ["attr_id", "file_id"])
+    rows = rows.join(state.entities.withColumnRenamed("value_id", "y"), ["ent_id", "attr_id"]).join(state.theta, ["attr_id", "file_id"])
     rows = rows.join(domain_part(state.index, "x", "px", "nx"), ["attr_id", "x"], "left")
     self_sim = state.index.sim.where("v1 = v2").select("attr_id", F.col("v1").alias("x"), F.col("exp_sim").alias("sxx"))
     rows = rows.join(self_sim, ["attr_id", "x"], "left")
@@ -311,13 +311,14 @@ def place(entities: DataFrame, partitioner) -> DataFrame:
     return to_wide(entities).select("ent_id", partitioner.column("values").alias("partition_id"))
 
 
-def step(state: ChainState, sampler: str = "PCG-I", keep=lambda df, name: df) -> ChainState:
-    """The next state: theta, links, values, distortions, partitions. keep: writes a table and reads it back."""
+def step(state: ChainState, sampler: str = "PCG-I", keep=lambda df, name: df, theta: DataFrame | None = None) -> ChainState:
+    """The next state: theta, links, values, distortions, partitions. keep: writes a table and reads it back.
+    theta: probabilities to take in place of drawn ones."""
     if sampler not in SAMPLERS:
         raise ValueError(f"unknown sampler {sampler}")
     collapsed_links, collapsed_values, sequential = SAMPLERS[sampler]
     now = replace(state, iteration=state.iteration + 1)
-    now.theta = keep(draw_theta(now), "theta")
+    now.theta = keep(draw_theta(now), "theta") if theta is None else theta
     link = links_collapsed if collapsed_links else links_by_scan if sequential else links_by_candidates
     now.links = keep(link(now), "links")
     value = values_collapsed if collapsed_values else values_by_scan if sequential else values_plain

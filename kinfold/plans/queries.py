@@ -292,16 +292,6 @@ def ag08_powered_base(spark, sf_dir):
     return R.powered_base(R.with_norms(domain, R.similar_values(domain, ATTRIBUTES)), powers).withColumn("base", F.round("base", 9))
 
 
-@query("""select a.p_name as a, b.p_name as b, levenshtein(a.p_name, b.p_name)::int as d,
-    round(greatest(0.0::double, 10.0::double / 7 * (10.0::double * (1 - 2.0::double * levenshtein(a.p_name, b.p_name) / (length(a.p_name) + length(b.p_name) + levenshtein(a.p_name, b.p_name))) - 3)), 6) as sim
-    from (select distinct p_name from part where p_partkey <= 100) a, (select distinct p_name from part where p_partkey <= 100) b""")
-def fn02_levenshtein_similarity(spark, sf_dir):
-    """A look at the functions themselves over the names of the first 100 part numbers."""
-    names = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey <= 100").select("p_name").distinct()
-    both = names.select(F.col("p_name").alias("a")).join(names.select(F.col("p_name").alias("b")))
-    return both.select("a", "b", F.levenshtein("a", "b").alias("d"), F.round(LevenshteinSimilarity(3, 10).column(F.col("a"), F.col("b")), 6).alias("sim"))
-
-
 @query(f"""with er as ({ER}), own as (select p_partkey, p_name as a, a0 as b from part join er on er.rec_id = cast(p_partkey as varchar(20)))
     select p_partkey, a, b, levenshtein(a, b)::int as d,
     round(greatest(0.0::double, 10.0::double / 7 * (10.0::double * (1 - 2.0::double * levenshtein(a, b) / (length(a) + length(b) + levenshtein(a, b))) - 3)), 6) as sim
@@ -461,7 +451,20 @@ def pt02_kdtree_leaf_sizes(spark, sf_dir):
     return wide.groupBy(tree.column().alias("leaf")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+#: Longest processing time first over jobs (job, size): each to the least loaded of four bins, the first of equals.
+LPT = """
+    ordered as (select *, row_number() over (order by size desc, job::varchar) as rn from jobs),
+    dealt as (
+        select 0::bigint as rn, null::varchar as job, 0::double as size, 0 as bin, [0.0::double, 0.0, 0.0, 0.0] as loads
+        union all
+        select o.rn, o.job::varchar, o.size, (list_position(d.loads, list_min(d.loads)) - 1)::int,
+               list_transform(d.loads, lambda x, i: case when i = list_position(d.loads, list_min(d.loads)) then x + o.size else x end)
+        from dealt d join ordered o on o.rn = d.rn + 1
+    )
+"""
+
+
+@query(f"with recursive jobs as (select p_brand as job, count(*)::double as size from part where p_brand is not null group by all), {LPT} select job, size, bin from dealt where rn > 0")
 def pt06_lpt_bins(spark, sf_dir):
     """Brands dealt to 4 bins by size."""
     most = 10_000
@@ -472,7 +475,8 @@ def pt06_lpt_bins(spark, sf_dir):
     return spark.createDataFrame([(k, sizes[k], b) for k, b in lpt_schedule(jobs, 4).items()], "job string, size double, bin int")
 
 
-@query()
+@query(f"""with recursive {BASE}, jobs as (select value_id as job, count(*)::double as size from enc where attr_id = 1 and value_id is not null group by all), {LPT}
+    select d.bin as block, count(*) as n from enc e join dealt d on d.rn > 0 and d.job = e.value_id::varchar where e.attr_id = 1 group by all""")
 def pt07_simple_blocks(spark, sf_dir):
     own = cells(spark, sf_dir)
     wide = T.to_wide(R.encode(own, R.domains(own)).where("value_id is not null").withColumnRenamed("rec_id", "ent_id"))
@@ -621,7 +625,50 @@ for _name in T.SAMPLERS:
     QUERIES["mc15_sampler_" + _name.lower().replace("-", "_")] = transitions(_name)
 
 
-@query()
+# --- whole steps, with the distortion probabilities at the prior's mean, as SQL can't repeat Beta draws ---------
+
+LINK_SQL = {False: ORACLE_SQL["mc07_link_gibbs"], True: ORACLE_SQL["mc09_link_collapsed"]}
+VALUE_SQL = {"PCG-I": "mc10_value_collapsed", "PCG-II": "mc10_value_collapsed", "Gibbs": "mc11_value_gibbs", "Gibbs-Sequential": "mc12_value_seq"}
+
+
+def step_sql(sampler: str) -> str:
+    """The updates' SQL in turn, each over the tables that the ones before left."""
+    own = lambda sql: sql.removeprefix(f"with {STATE}, ")
+    links, values = own(LINK_SQL[T.SAMPLERS[sampler][0]]), own(ORACLE_SQL[VALUE_SQL[sampler]])
+    moved = "links as (select * from new_links)"
+    return f"""with {STATE}, new_links as (with {links}), new_values as (with {moved}, {values}),
+        new_cells as (with {moved}, entities as (select * from new_values), {own(ORACLE_SQL["mc14_distortion_update"])})
+        select c.rec_id, c.attr_id, c.value_id, c.distorted, l.ent_id, v.value_id as entity_value, p.value_id % 4 as partition_id
+        from new_cells c join new_links l using (rec_id) join new_values v on v.ent_id = l.ent_id and v.attr_id = c.attr_id
+        join new_values p on p.ent_id = l.ent_id and p.attr_id = 1"""
+
+
+def whole_step(sampler: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = state(spark, sf_dir)
+        s.iteration = 0
+        s = T.step(s, sampler, tables.keep, s.theta)
+        values = s.entities.withColumnRenamed("value_id", "entity_value")
+        return s.cells.drop("file_id").join(s.links, "rec_id").join(values, ["ent_id", "attr_id"]).join(s.parts, "ent_id").select("rec_id", "attr_id", "value_id", "distorted", "ent_id", "entity_value", "partition_id")
+
+    return run
+
+
+for _name in T.SAMPLERS:
+    _key = "mc03_step_" + _name.lower().replace("-", "_")
+    QUERIES[_key], ORACLE_SQL[_key] = whole_step(_name), step_sql(_name)
+
+
+DIAGNOSTICS = LOGLIK.format(cells="st").replace("select round(", "select (").replace(", 3) as log_likelihood", ") as log_likelihood").replace(f"with {STATE}", "")
+
+
+@query(f"""with {STATE}, ll as ({DIAGNOSTICS}), per as (select rec_id, count(*) filter (distorted) as k from st group by all)
+    select 'iteration' as name, '1' as value
+    union all select 'numObservedEntities', count(distinct ent_id)::varchar from links
+    union all select 'logLikelihood', printf('%.9e', log_likelihood) from ll
+    union all select 'popSize', count(*)::varchar from parts
+    union all select concat('aggDist-a', attr_id), (count(*) filter (distorted))::varchar from st group by attr_id
+    union all select concat('recDistortion-', n), (select count(*) from per where k = n)::varchar from (select unnest(range(4)) as n)""")
 def sk03_diagnostics(spark, sf_dir):
     """The diagnostics row of the initial state, without its clock."""
     from kinfold.operators.sampler import diagnostics_row
