@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import itertools
+import gc
 import uuid
 
 from pyspark.sql import DataFrame
 
 from kinfold.sources.tables import remove, shared_dir
 
-#: Tables after which the driver drops the plans and broadcasts of those before.
-TIDY = 6
-_written = itertools.count(1)
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -29,8 +26,9 @@ def materialize(df: DataFrame, name: str = "t", compression: str = "snappy") ->
         df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, was)
-    if next(_written) % TIDY == 0:
-        spark.sparkContext._jvm.System.gc()  # Spark's cleaner works on what the collector finds
+    # plans and broadcasts of earlier steps, here and in executors: Spark's cleaner works on what collectors find
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,7 +15,7 @@ from .textgrid import batch_text, pieces
 
 #: Bounds of the training sample: rows of each label, and bytes of all its texts.
 SAMPLE_ROWS = 2500
-SAMPLE_BYTES = 24_000_000
+SAMPLE_BYTES = 16_000_000
 #: Text whose features are made at a time in training.
 TRAIN_BYTES = 500_000
 
