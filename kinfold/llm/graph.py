@@ -38,7 +38,7 @@ def components(links: DataFrame) -> DataFrame:
     while seen[0]:
         salts = 16 + seen[0] // SALT_ROWS
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = with_least(both, salts).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
+        large = with_least(both, salts).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
         small = with_least(large, salts)
         stars = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         was, old = seen, now

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import uuid
 
@@ -37,3 +39,10 @@ def discard(*tables: DataFrame) -> None:
     for df in tables:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
             remove(df.sparkSession, folder)
+
+
+def trim() -> None:
+    """Gives what this process has let go of (a model's training data) back to the system, where its C library can."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

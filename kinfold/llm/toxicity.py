@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashedwords import BITS, Features, group_sums
+from .store import trim
 from .textgrid import batch_text, pieces
 
 #: Bounds of the training sample: rows of each label, and bytes of all its texts.
@@ -104,7 +105,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     if len(set(y.tolist())) < 2:
         return Model(np.zeros(1 << BITS), -8.0)
     share = np.array([totals[c] / max(1, (y == c).sum()) for c in (0, 1)])[y]
-    return train([t.encode() for t in once], y, share * len(y) / share.sum())
+    model = train([t.encode() for t in once], y, share * len(y) / share.sum())
+    del rows, once
+    trim()
+    return model
 
 
 def sentence_scores(f: Features, model: Model) -> tuple[np.ndarray, np.ndarray]:
