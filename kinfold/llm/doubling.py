@@ -33,7 +33,8 @@ from .textgrid import _K, Grid, batch_text, mix, pieces, stirred, unaligned, win
 
 BLOCK_BYTES = 1_000_000
 BUCKET_BYTES = 16_000_000
-PART_BYTES = 4_000_000
+#: Text of a partition; words take several times the memory of their bytes.
+PART_BYTES, WORD_PART_BYTES = 10_000_000, 4_000_000
 SCHEMA = "block long, raw binary, size array<int>, count array<int>, doc array<long>, home array<int>, start array<int>, alive binary, rank binary"
 #: Spans that go: the row of the block's first table, the first window's place in it, and how many windows.
 GONE = "gone_home array<int>, gone_place array<int>, gone_n array<int>"
@@ -98,6 +99,8 @@ class Block:
         """The `short` symbols from each place on as two numbers: up to 16 bytes themselves, or 128 bits of words."""
         if self.words is None:
             words, n = unaligned(self.data).copy(), len(self.data)
+            if short == 16:
+                return words[:n], words[8:]
             mask = lambda k: np.uint64((1 << 8 * k) - 1)
             return words[:n] & mask(min(8, short)), words[8:] & mask(max(0, short - 8))
         a, b = (joined(h, short) for h in self.words.lanes)
@@ -504,7 +507,7 @@ def gone_by_block(docs: DataFrame, length: int, words: bool, block_bytes: int =
     """docs (doc_id, text; no null ids) as blocks, with gone: an array of (gone_home, gone_place, gone_n)."""
     blocks = materialize(to_blocks(docs, block_bytes), "blocks", "zstd")
     total = blocks.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
-    work = Work(length, words, 1 + total // BUCKET_BYTES, 1 + total // PART_BYTES)
+    work = Work(length, words, 1 + total // BUCKET_BYTES, 1 + total // (WORD_PART_BYTES if words else PART_BYTES))
     first, last = repeated_windows(blocks, work)
     gone = first.unionByName(last).repartition(work.parts, "block").groupBy("block").agg(F.collect_list(F.struct("gone_home", "gone_place", "gone_n")).alias("gone"))
     return work.joined(blocks, gone, "left")
