@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
+from collections.abc import Hashable, Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,3 +75,48 @@ def draw_from(keys: DataFrame, u: Column, cdf: DataFrame, group: list[str], valu
 
 def bernoulli(p: Column, u: Column) -> Column:
     return u < p
+
+
+@dataclass(frozen=True)
+class Distribution:
+    """A distribution over listed values held by the driver; larger ones are tables, see cumulative()."""
+
+    weights: dict[Hashable, float]
+    upto: list[float] = field(repr=False)
+
+    @staticmethod
+    def of(weights: Mapping[Hashable, float] | Sequence[float]) -> Distribution:
+        """Weights by value, or of the values 0, 1, …; finite, not negative, and one of them positive."""
+        own = {k: float(w) for k, w in (weights.items() if isinstance(weights, Mapping) else enumerate(weights))}
+        if any(not math.isfinite(w) or w < 0 for w in own.values()):
+            raise ValueError("weights must be finite and not negative")
+        upto = list(accumulate(own.values()))
+        if not upto or upto[-1] <= 0:
+            raise ValueError("a distribution needs a positive weight")
+        return Distribution(own, upto)
+
+    @property
+    def values(self) -> list:
+        return list(self.weights)
+
+    @property
+    def num_values(self) -> int:
+        return len(self.weights)
+
+    @property
+    def total_weight(self) -> float:
+        return self.upto[-1]
+
+    def probability(self, value: Hashable) -> float:
+        """0 for what isn't among the values."""
+        return self.weights.get(value, 0.0) / self.total_weight
+
+    def __iter__(self) -> Iterator[tuple[Hashable, float]]:
+        return ((v, w / self.total_weight) for v, w in self.weights.items())
+
+    def sample(self, u: float) -> Hashable:
+        """The value at u, a uniform in [0, 1), in the order of values; never one of weight 0."""
+        at = bisect_right(self.upto, u * self.total_weight)
+        if at == len(self.upto):  # u * total_weight was rounded up to the end
+            at = max(k for k, w in enumerate(self.weights.values()) if w > 0)
+        return self.values[at]

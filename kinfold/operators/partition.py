@@ -6,17 +6,37 @@ A fitted partitioner is a Column expression over value ids, so it runs inside an
 from __future__ import annotations
 
 import heapq
+import logging
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+log = logging.getLogger("kinfold.partition")
+#: Splits of this quality or less are logged as warnings.
+POOR_SPLIT = 0.9
 #: Nodes with at most so many distinct values are split greedily by weight, others at the weighted median.
 SMALL_DOMAIN = 30
 
 
+class PartitionFunction(Protocol):
+    """What the sampler asks of a partitioner. fitted() is what fit() found, as JSON can hold it; restore() takes it back."""
+
+    @property
+    def count(self) -> int: ...
+
+    def fit(self, wide: DataFrame, values: str = "values") -> PartitionFunction: ...
+
+    def column(self, values: str | Column = "values") -> Column: ...
+
+    def fitted(self) -> object: ...
+
+    def restore(self, said: object) -> PartitionFunction: ...
+
+
 def lpt_split(weights: list[tuple[int, float]]) -> tuple[set[int], float]:
     """Values that go right, and the split's quality, of a greedy two-way split by falling weight.
 
@@ -53,10 +73,25 @@ def lpt_schedule(jobs: list[tuple[object, float]], bins: int) -> dict[object, in
     return out
 
 
+class LPTSchedule:
+    """lpt_schedule() with its bins' jobs and sizes."""
+
+    def __init__(self, jobs: list[tuple[object, float]], bins: int) -> None:
+        self.of_job = lpt_schedule(jobs, bins)
+        self.jobs: list[list] = [[] for _ in range(bins)]
+        self.sizes = [0.0] * bins
+        for job, size in jobs:
+            self.jobs[self.of_job[job]].append(job)
+            self.sizes[self.of_job[job]] += size
+
+
 @dataclass
 class Node:
+    """A leaf, or a test of one attribute: values of the list go right, or (without one) values above a bound."""
+
     attr_id: int | None = None
-    right_if: Callable[[Column], Column] | None = None
+    rights: list[int] | None = None
+    above: int | None = None
     left: Node | None = None
     right: Node | None = None
     leaf: int = 0
@@ -64,7 +99,19 @@ class Node:
     def column(self, value: Callable[[int], Column]) -> Column:
         if self.attr_id is None:
             return F.lit(self.leaf)
-        return F.when(self.right_if(value(self.attr_id)), self.right.column(value)).otherwise(self.left.column(value))
+        own = value(self.attr_id)
+        test = own.isin(*self.rights) if self.rights is not None else own > self.above
+        return F.when(test, self.right.column(value)).otherwise(self.left.column(value))
+
+    def said(self) -> object:
+        return self.leaf if self.attr_id is None else [self.attr_id, self.rights, self.above, self.left.said(), self.right.said()]
+
+    @staticmethod
+    def of(said: object) -> Node:
+        if isinstance(said, int):
+            return Node(leaf=said)
+        attr, rights, above, left, right = said
+        return Node(attr, rights, above, Node.of(left), Node.of(right))
 
 
 @dataclass
@@ -99,26 +146,34 @@ class KDTreePartitioner:
             counts = counts.groupBy("leaf", "value_id").agg(F.count(F.lit(1)).alias("w"))
             sizes = {r["leaf"]: r["n"] for r in counts.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
             small = [k for k, n in sizes.items() if 1 < n <= SMALL_DOMAIN]
-            rights: dict[int, Callable[[Column], Column]] = {}
+            rights: dict[int, tuple[list[int] | None, int | None, float]] = {}
             lists: dict[int, list] = {}
             for r in counts.where(F.col("leaf").isin(small)).collect() if small else []:
                 lists.setdefault(r["leaf"], []).append((r["value_id"], float(r["w"])))
             for k, own in lists.items():
                 right, quality = lpt_split(own)
-                rights[k] = lambda c, right=tuple(sorted(right)): c.isin(*right)
-                self.qualities.append(quality)
+                rights[k] = sorted(right), None, quality
             large = [k for k, n in sizes.items() if n > SMALL_DOMAIN]
             for r in median_split(counts.where(F.col("leaf").isin(large)), ["leaf"]).collect() if large else []:
-                rights[r["leaf"]] = lambda c, at=r["split"]: c > at
-                self.qualities.append(1 - abs(2 * r["below"] - r["total"]) / r["total"])
+                rights[r["leaf"]] = None, r["split"], 1 - abs(2 * r["below"] - r["total"]) / r["total"]
             for k in sorted(rights):
                 node = leaves[k]
-                node.attr_id, node.right_if = attr, rights[k]
+                node.attr_id, (node.rights, node.above, quality) = attr, rights[k]
+                self.qualities.append(quality)
+                if quality <= POOR_SPLIT:
+                    log.warning("poor split of quality %.3f: level %d, attribute %d, leaf %d", quality, level, attr, k)
                 node.left, node.right = Node(leaf=k), Node(leaf=self.count)
                 leaves[k], leaves[self.count] = node.left, node.right
                 self.count += 1
         return self
 
+    def fitted(self) -> object:
+        return {"count": self.count, "root": self.root.said()}
+
+    def restore(self, said: object) -> KDTreePartitioner:
+        self.count, self.root = said["count"], Node.of(said["root"])
+        return self
+
     def column(self, values: str | Column = "values") -> Column:
         array = F.col(values) if isinstance(values, str) else values
         return self.root.column(lambda a: F.element_at(array, a + 1))
@@ -143,6 +198,13 @@ class SimplePartitioner:
     def count(self) -> int:
         return self.partitions
 
+    def fitted(self) -> object:
+        return sorted(self.of_value.items())
+
+    def restore(self, said: object) -> SimplePartitioner:
+        self.of_value = dict(map(tuple, said))
+        return self
+
     def column(self, values: str | Column = "values") -> Column:
         array = F.col(values) if isinstance(values, str) else values
         table = F.create_map(*[F.lit(x) for kv in sorted(self.of_value.items()) for x in kv]) if self.of_value else None

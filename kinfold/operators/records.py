@@ -120,40 +120,98 @@ def prior_theta(files: DataFrame, attributes: list[Attribute]) -> DataFrame:
     return files.select("file_id", F.explode(rows).alias("r")).select("r.attr_id", "file_id", "r.theta")
 
 
+#: Domains of more values aren't held by the driver.
+MOST_LOOKED_UP = 1_000_000
+
+
+class DomainLookup:
+    """One attribute's values in the driver's memory, and the similar values of those asked for so far."""
+
+    def __init__(self, index: Index, attr_id: int) -> None:
+        own = index.domain.where(F.col("attr_id") == attr_id).select("value_id", "value", "prob", "sim_norm")
+        rows = own.limit(MOST_LOOKED_UP + 1).collect()
+        if len(rows) > MOST_LOOKED_UP:
+            raise ValueError(f"attribute {attr_id} has more than {MOST_LOOKED_UP} values: join with the domain instead")
+        self.by_id = {r["value_id"]: (r["value"], r["prob"], r["sim_norm"]) for r in rows}
+        self.by_value = {r["value"]: r["value_id"] for r in rows}
+        self.sim = index.sim.where(F.col("attr_id") == attr_id)
+        self.constant = index.attributes[attr_id].is_constant
+        self.near: dict[int, dict[int, float]] = {}
+
+    def row(self, value_id: int) -> tuple[str, float, float]:
+        if value_id not in self.by_id:
+            raise KeyError(f"value id {value_id} is not in the domain")
+        return self.by_id[value_id]
+
+    def similar(self, value_id: int) -> dict[int, float]:
+        """exp_sim by value id where it is above 1; the first question about a value is a job, later ones aren't."""
+        self.row(value_id)
+        if value_id not in self.near:
+            rows = [] if self.constant else self.sim.where(F.col("v1") == value_id).select("v2", "exp_sim").collect()
+            self.near[value_id] = {r["v2"]: r["exp_sim"] for r in rows}
+        return self.near[value_id]
+
+
 @dataclass
 class Index:
-    """What is known of the attributes' values: domain with sim_norm, similar pairs, files."""
+    """What is known of the attributes' values: domain with sim_norm, similar pairs, files.
+
+    powers: powered_base() for up to most_power records an entity, where it was asked for. folder: where the
+    tables are saved, if they are. Look-ups collect one attribute's domain, once.
+    """
 
     attributes: list[Attribute]
     domain: DataFrame
     sim: DataFrame
     files: DataFrame
+    powers: DataFrame | None = None
+    most_power: int = -1
+    folder: str | None = None
+    looked_up: dict[int, DomainLookup] = field(default_factory=dict, repr=False)
+
+    def lookup(self, attr_id: int) -> DomainLookup:
+        if attr_id not in self.looked_up:
+            self.looked_up[attr_id] = DomainLookup(self, attr_id)
+        return self.looked_up[attr_id]
 
     def value_id(self, attr_id: int, value: str) -> int | None:
-        row = self.domain.where((F.col("attr_id") == attr_id) & (F.col("value") == value)).select("value_id").first()
-        return row[0] if row else None
+        return self.lookup(attr_id).by_value.get(value)
 
     def probability(self, attr_id: int, value_id: int) -> float:
-        row = self.domain.where((F.col("attr_id") == attr_id) & (F.col("value_id") == value_id)).select("prob").first()
-        if row is None:
-            raise KeyError(f"value id {value_id} is not in the domain of attribute {attr_id}")
-        return row[0]
+        return self.lookup(attr_id).row(value_id)[1]
+
+    def sim_norm(self, attr_id: int, value_id: int) -> float:
+        return self.lookup(attr_id).row(value_id)[2]
 
     def size(self, attr_id: int) -> int:
-        return self.domain.where(F.col("attr_id") == attr_id).count()
+        return len(self.lookup(attr_id).by_id)
+
+    def similar(self, attr_id: int, value_id: int) -> dict[int, float]:
+        return self.lookup(attr_id).similar(value_id)
 
     def exp_sim(self, attr_id: int, v1: int, v2: int) -> float:
-        self.probability(attr_id, v1)
-        self.probability(attr_id, v2)
-        row = self.sim.where((F.col("attr_id") == attr_id) & (F.col("v1") == v1) & (F.col("v2") == v2)).select("exp_sim").first()
-        return row[0] if row else 1.0
+        self.lookup(attr_id).row(v2)
+        return self.similar(attr_id, v1).get(v2, 1.0)
+
+    def bases(self, keys: DataFrame) -> DataFrame:
+        """powered_base() for the (attr_id, k) of keys: from the saved powers as far as they reach."""
+        wanted = keys.select("attr_id", "k").distinct()
+        if self.powers is None:
+            return powered_base(self.domain, wanted)
+        return self.powers.unionByName(powered_base(self.domain, wanted.where(F.col("k") > self.most_power)))
 
 
-def build_index(cells: DataFrame, attributes: list[Attribute], keep=lambda df: df) -> Index:
-    """keep: writes or caches a table that later steps read again and again."""
+def build_index(cells: DataFrame, attributes: list[Attribute], keep=lambda df: df, most_power: int = -1) -> Index:
+    """keep: writes or caches a table that later steps read again and again. most_power: the largest cluster that
+    the powers are made for in advance; larger ones are served too, by a sum over the domain each time."""
     domain = keep(domains(cells))
     lacking = set(range(len(attributes))) - {r["attr_id"] for r in domain.select("attr_id").distinct().collect()}
     if lacking:
         raise ValueError("no values of attribute " + ", ".join(attributes[k].name for k in sorted(lacking)))
     sim = keep(similar_values(domain, attributes))
-    return Index(attributes, keep(with_norms(domain, sim)), sim, keep(file_sizes(cells)))
+    whole = keep(with_norms(domain, sim))
+    index = Index(attributes, whole, sim, keep(file_sizes(cells)))
+    if most_power >= 0:
+        asked = [(a, k) for a, own in enumerate(attributes) for k in range(1 if own.is_constant else most_power + 1)]
+        index.powers, index.most_power = keep(powered_base(whole, domain.sparkSession.createDataFrame(asked, "attr_id int, k int"))), most_power
+    return index

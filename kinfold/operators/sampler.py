@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import time
 
 from kinfold.sources import tables
@@ -30,12 +29,14 @@ def diagnostics_row(state: ChainState) -> tuple:
     )
 
 
-def sample(state: ChainState, size: int, output: str, burnin: int = 0, thinning: int = 1, sampler: str = "PCG-I", buffer: int = 10, keep=tables.keep) -> ChainState:
+def sample(state: ChainState, size: int, output: str, burnin: int = 0, thinning: int = 1, sampler: str = "PCG-I", buffer: int = 10, scratch: tables.Scratch | None = None) -> ChainState:
     """Draws `size` samples of the linkage and appends them to output/linkage-chain.parquet.
 
     A new chain without burn-in also writes its initial state. With burn-in b the samples are at b,
     b + thinning, …; a state of a later iteration goes on with the chain there is. Each step's tables are
-    written to the shared folder, so plans stay short and a lost executor costs no more than a stage.
+    written to the scratch folder, so plans stay short and a lost executor costs no more than a stage; tables
+    of steps long past go. Returns the state as it is saved in output/state. scratch: the one that holds the
+    tables of the state, if any; whoever made it closes it.
     """
     if size <= 0 or burnin < 0 or thinning <= 0 or buffer <= 0:
         raise ValueError("size, thinning and buffer must be positive, burnin not negative")
@@ -43,6 +44,8 @@ def sample(state: ChainState, size: int, output: str, burnin: int = 0, thinning:
         raise ValueError(f"unknown sampler {sampler}")
     spark, fresh = state.cells.sparkSession, state.iteration == 0
     chain, numbers = f"{output}/linkage-chain.parquet", f"{output}/diagnostics.csv"
+    own = scratch or tables.Scratch(spark)
+    drafts: tables.Scratch | None = None
     waiting: list = []
     rows: list[tuple] = []
     append = not fresh
@@ -50,7 +53,7 @@ def sample(state: ChainState, size: int, output: str, burnin: int = 0, thinning:
         tables.remove(spark, numbers)
 
     def flush() -> None:
-        nonlocal append
+        nonlocal append, drafts
         if waiting:
             union = waiting[0]
             for w in waiting[1:]:
@@ -60,20 +63,23 @@ def sample(state: ChainState, size: int, output: str, burnin: int = 0, thinning:
             append = True
             waiting.clear()
             rows.clear()
+            drafts.close()
+            drafts = None
 
     def emit(s: ChainState) -> None:
-        waiting.append(keep(linkage(s), "linkage"))
+        nonlocal drafts
+        drafts = drafts or tables.Scratch(spark, own.root)
+        waiting.append(drafts(linkage(s), "linkage"))
         rows.append(diagnostics_row(s))
         if len(waiting) >= buffer:
             flush()
 
-    if fresh:
-        tables.write_lines(spark, json.dumps(state.parts.count()), f"{output}/state/population.json")
-        if burnin == 0:
-            emit(state)
+    if fresh and burnin == 0:
+        emit(state)
     drawn = 0
     while drawn < size:
-        state = step(state, sampler, keep)
+        own.step()
+        state = step(state, sampler, own)
         at = state.iteration
         if burnin and fresh:
             due = at >= burnin and (at - burnin) % thinning == 0
@@ -83,5 +89,7 @@ def sample(state: ChainState, size: int, output: str, burnin: int = 0, thinning:
             emit(state)
             drawn += 1
     flush()
-    save_state(state, f"{output}/state")
+    state = save_state(state, f"{output}/state")
+    if scratch is None:
+        own.close()
     return state

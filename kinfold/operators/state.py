@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from kinfold.functions.draws import cumulative, draw_from, uniform
 from kinfold.sources import tables
 
 from .records import Attribute, Index, build_index, encode, prior_theta, to_cells
-from .transition import ChainState, place
+from .transition import ChainState, place, to_wide
 
 
 def numbered(cells: DataFrame, digits: int = 2) -> DataFrame:
@@ -49,43 +50,59 @@ def initial_tables(encoded: DataFrame, index: Index, seed: int, population: int
     return entities, links, cells
 
 
-def initial_state(df: DataFrame, attributes: list[Attribute], partitioner, seed: int, rec_id: str = "rec_id", file_id: str | None = None, population: int | None = None, keep=tables.keep) -> ChainState:
+def initial_state(df: DataFrame, attributes: list[Attribute], partitioner, seed: int, rec_id: str = "rec_id", file_id: str | None = None, population: int | None = None, keep=tables.keep, most_power: int = -1) -> ChainState:
     cells = keep(to_cells(df, attributes, rec_id, file_id))
-    index = build_index(cells, attributes, keep)
+    index = build_index(cells, attributes, keep, most_power)
     encoded = keep(encode(cells, index.domain))
     entities, links, cells = initial_tables(encoded, index, seed, population)
     entities, links, cells = keep(entities), keep(links), keep(cells)
-    from .transition import to_wide
-
     partitioner.fit(to_wide(entities))
     parts = keep(place(entities, partitioner))
     return ChainState(0, seed, index, entities, parts, cells, links, keep(prior_theta(index.files, attributes)), partitioner)
 
 
 TABLES = ("entities", "parts", "cells", "links", "theta")
+INDEX = ("domain", "sim", "files", "powers")
+
 
+def save_state(state: ChainState, path: str) -> ChainState:
+    """Saves the chain's tables, the index and the fitted partitioner; returns the state as it is saved.
 
-def save_state(state: ChainState, path: str) -> None:
-    """The chain's tables as Parquet and its numbers as JSON, which is written last."""
+    state.json is written last and put in place at once, so that path holds the old state or the new one; then
+    the folders that it doesn't name go. The index is saved once a chain.
+    """
     spark = state.cells.sparkSession
+    own = f"{state.iteration}-{uuid.uuid4().hex[:8]}"
     for name in TABLES:
-        getattr(state, name).write.mode("overwrite").parquet(f"{path}/{state.iteration}/{name}")
-    tables.write_lines(spark, json.dumps({"iteration": state.iteration, "seed": state.seed}), f"{path}/state.json")
-
-
-def load_state(spark: SparkSession, path: str, df: DataFrame, attributes: list[Attribute], partitioner, rec_id: str = "rec_id", file_id: str | None = None, keep=tables.keep) -> ChainState | None:
-    """A saved state, or None. The index and the partitioner are fitted anew: both follow from the records and
-    the saved initial entities, so the chain goes on as if it had not stopped."""
+        getattr(state, name).write.parquet(f"{path}/{own}/{name}")
+    index = state.index
+    if index.folder is None or not index.folder.startswith(f"{path}/"):
+        index.folder = f"{path}/index-{uuid.uuid4().hex[:8]}"
+        for name in INDEX:
+            if getattr(index, name) is not None:
+                getattr(index, name).write.parquet(f"{index.folder}/{name}")
+    shared = index.folder.rsplit("/", 1)[1]
+    said = {
+        "iteration": state.iteration, "seed": state.seed, "tables": own, "index": shared, "powers": index.powers is not None, "mostPower": index.most_power,
+        "attributes": [str(a) for a in index.attributes], "partitioner": state.partitioner.fitted(),
+    }
+    tables.write_lines(spark, json.dumps(said), f"{path}/state.json.new")
+    tables.rename(spark, f"{path}/state.json.new", f"{path}/state.json")
+    for name in tables.children(spark, path):
+        if name not in ("state.json", own, shared) and not name.startswith("."):
+            tables.remove(spark, f"{path}/{name}")
+    return load_state(spark, path, index.attributes, state.partitioner)
+
+
+def load_state(spark: SparkSession, path: str, attributes: list[Attribute], partitioner) -> ChainState | None:
+    """The saved state, or None; index and partitioner come from the files, and no record is read."""
     if not tables.exists(spark, f"{path}/state.json"):
         return None
     said = json.loads(tables.read_lines(spark, f"{path}/state.json"))
-    cells = keep(to_cells(df, attributes, rec_id, file_id))
-    index = build_index(cells, attributes, keep)
-    encoded = keep(encode(cells, index.domain))
-    from .transition import to_wide
-
-    first = tables.read_lines(spark, f"{path}/population.json")
-    entities, _, _ = initial_tables(encoded, index, said["seed"], json.loads(first))
-    partitioner.fit(to_wide(entities))
-    own = {name: spark.read.parquet(f"{path}/{said['iteration']}/{name}") for name in TABLES}
-    return ChainState(said["iteration"], said["seed"], index, partitioner=partitioner, **own)
+    if said["attributes"] != [str(a) for a in attributes]:
+        raise ValueError("the saved state is of other attributes")
+    folder = f"{path}/{said['index']}"
+    kept = {name: spark.read.parquet(f"{folder}/{name}") for name in INDEX if name != "powers" or said["powers"]}
+    index = Index(attributes, **kept, most_power=said["mostPower"], folder=folder)
+    own = {name: spark.read.parquet(f"{path}/{said['tables']}/{name}") for name in TABLES}
+    return ChainState(said["iteration"], said["seed"], index, partitioner=partitioner.restore(said["partitioner"]), **own)

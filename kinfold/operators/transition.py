@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from kinfold.functions.draws import bernoulli, categorical, cumulative, draw_from, uniform
 
-from .records import Index, powered_base
+from .records import Index
 
 #: collapsed links, collapsed values, sequential
 SAMPLERS = {"PCG-I": (False, True, False), "PCG-II": (True, True, False), "Gibbs": (False, False, False), "Gibbs-Sequential": (False, False, True)}
@@ -172,7 +172,7 @@ def linked_cells(state: ChainState) -> DataFrame:
 
 def base_draws(state: ChainState, keys: DataFrame) -> DataFrame:
     """keys (ent_id, attr_id, k) with a value of the base distribution, prob * sim_norm ** k."""
-    base = powered_base(state.index.domain, keys.select("attr_id", "k").distinct())
+    base = state.index.bases(keys)
     cdf = cumulative(base, ["attr_id", "k"], "value_id", "base")
     return draw_from(keys, uniform(state.seed, state.iteration, "base", "ent_id", "attr_id"), cdf, ["attr_id", "k"], "value_id")
 
@@ -183,7 +183,7 @@ def perturbed(state: ChainState, keys: DataFrame, factors: DataFrame) -> DataFra
     keys: (ent_id, attr_id, k); factors: (ent_id, attr_id, v, lf) with lf >= 0. With W = sum of
     base * (exp(lf) - 1), a value comes from the base with probability 1 / (1 + W), else from what was added.
     """
-    base = powered_base(state.index.domain, keys.select("attr_id", "k").distinct()).withColumnRenamed("value_id", "v")
+    base = state.index.bases(keys).withColumnRenamed("value_id", "v")
     added = factors.join(keys, ["ent_id", "attr_id"]).join(base, ["attr_id", "k", "v"])
     # base * expm1(lf) in logs, as products over many records overflow
     log_c = F.log("base") + F.when(F.col("lf") > 30, F.col("lf")).otherwise(F.log(F.expm1("lf")))

@@ -1,8 +1,7 @@
-"""Projects from configurations (JSON text or dicts with the usual key tree), their steps, and the command line."""
+"""Projects from configurations (texts or dicts with the usual key tree), their steps, and the command line."""
 
 from __future__ import annotations
 
-import json
 import sys
 from dataclasses import dataclass, field
 
@@ -17,7 +16,7 @@ from kinfold.operators.records import Attribute, BetaPrior
 from kinfold.operators.sampler import sample
 from kinfold.operators.state import initial_state, load_state
 from kinfold.operators.transition import SAMPLERS
-from kinfold.sources import tables
+from kinfold.sources import hocon, tables
 
 
 class ConfigError(ValueError):
@@ -32,6 +31,10 @@ def setting(tree: dict, path: str, kind=None, default=...):
                 raise ConfigError(f"missing setting {path}")
             return default
         at = at[part]
+    if at is None and default is not ...:
+        return default
+    if kind is int and isinstance(at, float) and at.is_integer():
+        at = int(at)
     if kind is not None and (not isinstance(at, kind) or isinstance(at, bool) and bool not in (kind if isinstance(kind, tuple) else (kind,))):
         raise ConfigError(f"setting {path} has a wrong type: {at!r}")
     return at
@@ -108,6 +111,12 @@ class Project:
     def chain(self, spark: SparkSession, cutoff: int = 0) -> DataFrame | None:
         return tables.read_chain(spark, f"{self.output}/linkage-chain.parquet", cutoff)
 
+    def scratch(self, spark: SparkSession) -> str:
+        """The folder of tables between steps: the session's shared one, or the project's where that is unset."""
+        if spark.conf.get("spark.checkpoint.dir", None) or self.checkpoint is None:
+            return tables.shared_dir(spark)
+        return self.checkpoint
+
     def describe(self) -> str:
         lines = [f"Data: {self.data}", f"Record id: {self.rec_id}; file id: {self.file_id or '-'}; entity id: {self.ent_id or '-'}", f"Seed: {self.seed}; population: {self.population or 'number of records'}; expected largest cluster: {self.max_cluster_size}", f"Partitioner: {type(self.partitioner).__name__}"]
         lines += [f"Attribute {k}: {a.name}, {a.similarity}, Beta({a.prior.alpha}, {a.prior.beta})" for k, a in enumerate(self.attributes)]
@@ -129,11 +138,14 @@ class SampleStep:
             raise ConfigError(f"unknown sampler {self.sampler}")
 
     def run(self, spark: SparkSession, project: Project) -> None:
-        df = project.records(spark)
-        state = load_state(spark, f"{project.output}/state", df, project.attributes, project.partitioner, project.rec_id, project.file_id) if self.resume else None
-        if state is None:
-            state = initial_state(df, project.attributes, project.partitioner, project.seed, project.rec_id, project.file_id, project.population)
-        sample(state, self.size, project.output, self.burnin, self.thinning, self.sampler)
+        state = load_state(spark, f"{project.output}/state", project.attributes, project.partitioner) if self.resume else None
+        scratch = tables.Scratch(spark, project.scratch(spark))
+        try:
+            if state is None:
+                state = initial_state(project.records(spark), project.attributes, project.partitioner, project.seed, project.rec_id, project.file_id, project.population, scratch, project.max_cluster_size)
+            sample(state, self.size, project.output, self.burnin, self.thinning, self.sampler, scratch=scratch)
+        finally:
+            scratch.close()
 
 
 @dataclass
@@ -180,9 +192,9 @@ class SummarizeStep:
         if chain is None:
             raise ConfigError("no saved linkage chain")
         if "cluster-size-distribution" in self.quantities:
-            C.pivot_cluster_sizes(C.cluster_size_distribution(chain)).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{project.output}/cluster-size-distribution.csv")
+            tables.write_csv(C.pivot_cluster_sizes(C.cluster_size_distribution(chain)), f"{project.output}/cluster-size-distribution.csv")
         if "partition-sizes" in self.quantities:
-            C.pivot_partition_sizes(C.partition_sizes(chain)).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{project.output}/partition-sizes.csv")
+            tables.write_csv(C.pivot_partition_sizes(C.partition_sizes(chain)), f"{project.output}/partition-sizes.csv")
         if "shared-most-probable-clusters" in self.quantities:
             shared_clusters(spark, project, self.cutoff, False)
 
@@ -223,8 +235,11 @@ def parse_step(spec: dict):
     raise ConfigError(f"unknown step {name}")
 
 
-def run(spark: SparkSession, config: dict, frame: DataFrame | None = None) -> Project:
-    """Parses a whole configuration first, then runs its steps in order; root keys that hold the tree are looked through."""
+def run(spark: SparkSession, config: dict | str, frame: DataFrame | None = None) -> Project:
+    """Parses a whole configuration (a tree or its text) first, then runs its steps in order; root keys that hold
+    the tree are looked through."""
+    if isinstance(config, str):
+        config = hocon.parse(config)
     while len(config) == 1 and isinstance(next(iter(config.values())), dict):
         config = next(iter(config.values()))
     project = Project.parse(config)
@@ -238,7 +253,7 @@ def run(spark: SparkSession, config: dict, frame: DataFrame | None = None) -> Pr
 
 def main(args: list[str]) -> None:
     spark = SparkSession.builder.appName("kinfold").getOrCreate()
-    run(spark, json.loads(tables.read_lines(spark, args[0])))
+    run(spark, tables.read_lines(spark, args[0]))
     spark.stop()
 
 

@@ -35,6 +35,33 @@ def keep(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that a run needs for a while, in one folder of its own.
+
+    A call writes a table and reads it back. step() opens the next generation and removes the one that is `most`
+    older; generation 0, which holds what all steps read, stays until close().
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, most: int = 3) -> None:
+        if most < 2:
+            raise ValueError("a step reads the generation before")
+        self.spark, self.most, self.generation = spark, most, 0
+        self.root = f"{(folder or shared_dir(spark)).rstrip('/')}/kinfold-run-{uuid.uuid4().hex}"
+
+    def __call__(self, df: DataFrame, name: str = "t") -> DataFrame:
+        path = f"{self.root}/{self.generation}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def step(self) -> None:
+        self.generation += 1
+        if self.generation > self.most:
+            remove(self.spark, f"{self.root}/{self.generation - self.most}")
+
+    def close(self) -> None:
+        remove(self.spark, self.root)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -45,6 +72,24 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if there is no such folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Moves a file within its file system, onto whatever is at the target."""
+    a, b = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (source, target))
+    fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(b):
+        fs.delete(b, True)
+    fs.mkdirs(b.getParent())
+    if not fs.rename(a, b):
+        raise OSError(f"can't move {source} to {target}")
+
+
 def copy(spark: SparkSession, source: str, target: str, overwrite: bool = False, delete_source: bool = False) -> bool:
     """Copies a file or folder between file systems; False if the source isn't there, or the target is and stays."""
     conf, hadoop = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs
@@ -107,5 +152,20 @@ def write_lines(spark: SparkSession, text: str, path: str) -> None:
 
 
 def append_csv(spark: SparkSession, rows: list[tuple], header: list[str], path: str) -> None:
-    """Appends rows to a folder of CSV parts, each with the header."""
-    spark.createDataFrame([tuple(map(str, r)) for r in rows], StructType([StructField(c, StringType()) for c in header])).coalesce(1).write.mode("append").option("header", True).csv(path)
+    """Appends rows to one small CSV file; its header is written once. A new file takes the old one's place, so
+    that a reader finds whole rows only."""
+    text = read_lines(spark, path) if exists(spark, path) else ",".join(header) + "\n"
+    write_lines(spark, text + "".join(",".join(map(str, r)) + "\n" for r in rows), f"{path}.new")
+    rename(spark, f"{path}.new", path)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """One CSV file of that very name, with a header, for tables of a row a sample; rows keep their order."""
+    spark, folder = df.sparkSession, f"{path}-{uuid.uuid4().hex}"
+    df.coalesce(1).write.option("header", True).csv(folder)
+    parts = [n for n in children(spark, folder) if n.startswith("part-")]
+    if parts:
+        rename(spark, f"{folder}/{parts[0]}", path)
+    else:
+        write_lines(spark, ",".join(df.columns) + "\n", path)
+    remove(spark, folder)
