@@ -144,11 +144,15 @@ class DomainLookup:
         return self.by_id[value_id]
 
     def similar(self, value_id: int) -> dict[int, float]:
-        """exp_sim by value id where it is above 1; the first question about a value is a job, later ones aren't."""
+        """exp_sim by value id where it is above 1; the first question about a value is a job for it and the
+        99 ids after it, later ones aren't."""
         self.row(value_id)
         if value_id not in self.near:
-            rows = [] if self.constant else self.sim.where(F.col("v1") == value_id).select("v2", "exp_sim").collect()
-            self.near[value_id] = {r["v2"]: r["exp_sim"] for r in rows}
+            end = value_id + 100
+            self.near |= {v: {} for v in range(value_id, end) if v in self.by_id and v not in self.near}
+            asked = self.sim.where((F.col("v1") >= value_id) & (F.col("v1") < end)).select("v1", "v2", "exp_sim")
+            for r in [] if self.constant else asked.collect():
+                self.near[r["v1"]][r["v2"]] = r["exp_sim"]
         return self.near[value_id]
 
 

@@ -1,5 +1,5 @@
 """Registered queries over the driver tables."""
 
-from .queries import ORACLE_SQL, QUERIES
+from .file_queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
