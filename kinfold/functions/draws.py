@@ -15,6 +15,8 @@ from pyspark.sql.window import Window
 #: 2**52; uniforms are odd multiples of half its inverse, strictly inside (0, 1).
 SCALE = float(1 << 52)
 CDF_BUCKETS = 1024
+#: A running sum's window holds so many consecutive values at most; a group's windows are tied by their sums.
+RUN = 1 << 16
 
 
 def uniform(seed: int, iteration: int, op: str, *keys: Column | str) -> Column:
@@ -49,17 +51,28 @@ def probabilities(dist: DataFrame, group: list[str], weight: str = "weight") ->
     return checked_weights(dist, weight).withColumn("prob", F.when(total > 0, F.col(weight) / total).otherwise(bad))
 
 
+def running(rows: DataFrame, group: list[str], value: str, weight: str) -> DataFrame:
+    """Adds upto (sum of weight up to the row, in the order of value), total and last (largest value) of the row's group.
+
+    value: an integer, once a group. A group of any size is spread over windows of RUN values each.
+    """
+    own = rows.withColumn("_run", F.floor(F.col(value) / RUN))
+    sums = own.groupBy(*group, "_run").agg(F.sum(weight).alias("_sum"), F.max(value).alias("_most"))
+    by = Window.partitionBy(*group)  # a row a window
+    before = F.coalesce(F.sum("_sum").over(by.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = sums.select(*group, "_run", before.alias("_before"), F.sum("_sum").over(by).alias("total"), F.max("_most").over(by).alias("last"))
+    inside = F.sum(weight).over(Window.partitionBy(*group, "_run").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return own.withColumn("_inside", inside).join(ends, [*group, "_run"]).withColumn("upto", F.col("_before") + F.col("_inside")).drop("_run", "_before", "_inside")
+
+
 def cumulative(dist: DataFrame, group: list[str], value: str, prob: str) -> DataFrame:
     """Adds lo and hi, the ends of each value's part of [0, 1) in the order of values, and the buckets it meets.
 
-    One row for each of the CDF_BUCKETS equal parts of [0, 1) that the value's part meets, so that a
+    value: an integer. One row for each of the CDF_BUCKETS equal parts of [0, 1) that the value's part meets, so that a
     draw is an equality join on the bucket and a test of two bounds.
     """
-    run = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    hi = F.sum(prob).over(run)
-    last = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(value))) == 1
-    out = dist.where(F.col(prob) > 0).withColumn("hi", hi).withColumn("lo", F.col("hi") - F.col(prob))
-    out = out.withColumn("hi", F.when(last, F.lit(1.0)).otherwise(F.col("hi")))
+    out = running(dist.where(F.col(prob) > 0), group, value, prob).withColumnRenamed("upto", "hi").withColumn("lo", F.col("hi") - F.col(prob))
+    out = out.withColumn("hi", F.when(F.col(value) == F.col("last"), F.lit(1.0)).otherwise(F.col("hi"))).drop("total", "last")
     bucket = lambda c: F.least(F.lit(CDF_BUCKETS - 1), F.greatest(F.lit(0), F.floor(c * CDF_BUCKETS).cast("int")))
     return out.withColumn("bucket", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.greatest("lo", "hi")))))
 

@@ -61,6 +61,24 @@ def pairwise_metrics(predicted: DataFrame, true: DataFrame) -> DataFrame:
     return confusion(flagged_pairs(predicted, true)).select("tp", "fp", "fn", precision().alias("precision"), recall().alias("recall"), f_measure().alias("f1"))
 
 
+def membership_metrics(predicted: DataFrame, true: DataFrame) -> DataFrame:
+    """pairwise_metrics() of two memberships (rec_id, cluster_id), without making their pairs.
+
+    Pairs are counted from the sizes of clusters and of their intersections; records that one side lacks count
+    with the other. Where clusters of a side overlap, pairs are shared, and they are made and compared.
+    """
+    p, t = predicted.select("rec_id", F.col("cluster_id").alias("p")).distinct(), true.select("rec_id", F.col("cluster_id").alias("t")).distinct()
+    met = p.join(t, "rec_id", "full_outer")
+    if met.groupBy("rec_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        return pairwise_metrics(pairs_of(predicted), pairs_of(true))
+    cells = met.groupBy("p", "t").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.coalesce(F.expr("sum(n * (n - 1) div 2)"), F.lit(0))
+    side = lambda c: cells.where(F.col(c).isNotNull()).groupBy(c).agg(F.sum("n").alias("n")).agg(pairs.alias(f"of_{c}"))
+    one = cells.where("p is not null and t is not null").agg(pairs.alias("tp")).join(side("p")).join(side("t"))  # three one-row tables
+    counts = one.select("tp", (F.col("of_p") - F.col("tp")).alias("fp"), (F.col("of_t") - F.col("tp")).alias("fn"))
+    return counts.select("tp", "fp", "fn", precision().alias("precision"), recall().alias("recall"), f_measure().alias("f1"))
+
+
 def contingency(predicted: DataFrame, true: DataFrame, check: bool = True) -> DataFrame:
     """(pred_id, true_id, n) of two memberships (rec_id, cluster_id) of the same records.
 

@@ -13,7 +13,8 @@ from typing import Protocol
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from kinfold.functions.draws import running
 
 log = logging.getLogger("kinfold.partition")
 #: Splits of this quality or less are logged as warnings.
@@ -55,8 +56,7 @@ def lpt_split(weights: list[tuple[int, float]]) -> tuple[set[int], float]:
 
 def median_split(counts: DataFrame, keys: list[str], value: str = "value_id", weight: str = "w") -> DataFrame:
     """(keys…, split, below, total): the first value at which the running weight passes half; right means above it."""
-    by = Window.partitionBy(*keys)
-    run = counts.withColumn("upto", F.sum(weight).over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum(weight).over(by))
+    run = running(counts, keys, value, weight)
     return run.where(F.col("upto") * 2 >= F.col("total")).groupBy(*keys).agg(F.min(value).alias("split"), F.min("upto").alias("below"), F.first("total").alias("total"))
 
 

@@ -59,18 +59,39 @@ def percent_missing(cells: DataFrame) -> DataFrame:
     return cells.agg((F.avg(F.col("value").isNull().cast("double")) * 100).alias("pct_missing"))
 
 
-def domains(cells: DataFrame) -> DataFrame:
-    """(attr_id, value_id, value, cnt, prob): ids are ranks by ascending value, from 0, in each attribute."""
-    by = Window.partitionBy("attr_id")
-    counts = value_counts(cells)
-    return counts.select("attr_id", (F.row_number().over(by.orderBy("value")) - 1).alias("value_id"), "value", "cnt", (F.col("cnt") / F.sum("cnt").over(by)).alias("prob"))
+#: Values, of all attributes together, that cut the domains into ranges.
+CUTS = 255
+
+
+def domains(cells: DataFrame, keep=lambda df: df) -> DataFrame:
+    """(attr_id, value_id, value, cnt, prob): ids are ranks by ascending value, from 0, in each attribute.
+
+    Values are ranked inside ranges, to which the counts of the ranges before are added. The ranges' ends are the
+    CUTS values of least hash, so they are the same after a retry; keep writes the counts that they are taken from.
+    """
+    counts = keep(value_counts(cells))
+    ends: dict[int, list[str]] = {}
+    for r in counts.select("attr_id", "value").orderBy(F.xxhash64("attr_id", "value"), "attr_id", "value").limit(CUTS).collect():
+        ends.setdefault(r["attr_id"], []).append(r["value"])
+    before = F.lit(0)
+    for attr, cuts in ends.items():
+        own = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("value")))
+        before = F.when(F.col("attr_id") == attr, own).otherwise(before)
+    ranged = counts.withColumn("range", before)
+    by = Window.partitionBy("attr_id")  # a row a range
+    sums = ranged.groupBy("attr_id", "range").agg(F.count(F.lit(1)).alias("n"), F.sum("cnt").alias("s"))
+    first = F.coalesce(F.sum("n").over(by.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tied = F.broadcast(sums.select("attr_id", "range", first.alias("first"), F.sum("s").over(by).alias("total")))  # CUTS ranges, and one an attribute
+    rank = F.row_number().over(Window.partitionBy("attr_id", "range").orderBy("value")) - 1
+    rows = ranged.withColumn("rank", rank).join(tied, ["attr_id", "range"])
+    return rows.select("attr_id", (F.col("first") + F.col("rank")).cast("int").alias("value_id"), "value", "cnt", (F.col("cnt") / F.col("total")).alias("prob"))
 
 
 def similar_values(domain: DataFrame, attributes: list[Attribute]) -> DataFrame:
     """(attr_id, v1, v2, exp_sim) of all pairs of values with exp_sim above 1, a value with itself included.
 
     Pairs meet by their lengths: a difference of lengths is a lower bound of the edits, so a value is
-    offered to the lengths within reach only. Constant attributes have no rows.
+    offered to the lengths within reach only, and edits are counted up to the reach. Constant attributes have no rows.
     """
     out = None
     for k, a in enumerate(attributes):
@@ -81,7 +102,9 @@ def similar_values(domain: DataFrame, attributes: list[Attribute]) -> DataFrame:
         near = own.select("size").distinct().join(sizes, F.abs(F.col("size") - F.col("to_size")) <= a.similarity.reach(F.col("size") + F.col("to_size")))
         left = own.join(near, "size").select("attr_id", F.col("value_id").alias("v1"), F.col("value").alias("x"), F.col("to_size").alias("size"))
         right = own.select("size", F.col("value_id").alias("v2"), F.col("value").alias("y"))
-        sims = left.join(right, "size").withColumn("sim", a.similarity.column(F.col("x"), F.col("y"))).where("sim > 0")
+        reach = a.similarity.reach(F.length("x") + F.length("y"))
+        met = left.join(right, "size").where(F.call_function("levenshtein", F.col("x"), F.col("y"), reach) >= 0)
+        sims = met.withColumn("sim", a.similarity.column(F.col("x"), F.col("y"))).where("sim > 0")
         part = sims.select("attr_id", "v1", "v2", F.exp("sim").alias("exp_sim"))
         out = part if out is None else out.unionByName(part)
     if out is None:
@@ -100,7 +123,9 @@ def powered_base(domain: DataFrame, powers: DataFrame) -> DataFrame:
     """(attr_id, k, value_id, base): base proportional to prob * sim_norm ** k, for the (attr_id, k) asked for."""
     w = F.col("prob") * F.pow("sim_norm", F.col("k"))
     rows = powers.select("attr_id", "k").distinct().join(domain, "attr_id").withColumn("w", w)
-    return rows.select("attr_id", "k", "value_id", (F.col("w") / F.sum("w").over(Window.partitionBy("attr_id", "k"))).alias("base"))
+    # n records have at most sqrt(2 n) sizes of clusters k, so there are few totals
+    totals = F.broadcast(rows.groupBy("attr_id", "k").agg(F.sum("w").alias("total")))
+    return rows.join(totals, ["attr_id", "k"]).select("attr_id", "k", "value_id", (F.col("w") / F.col("total")).alias("base"))
 
 
 def encode(cells: DataFrame, domain: DataFrame) -> DataFrame:
@@ -208,7 +233,7 @@ class Index:
 def build_index(cells: DataFrame, attributes: list[Attribute], keep=lambda df: df, most_power: int = -1) -> Index:
     """keep: writes or caches a table that later steps read again and again. most_power: the largest cluster that
     the powers are made for in advance; larger ones are served too, by a sum over the domain each time."""
-    domain = keep(domains(cells))
+    domain = keep(domains(cells, keep))
     lacking = set(range(len(attributes))) - {r["attr_id"] for r in domain.select("attr_id").distinct().collect()}
     if lacking:
         raise ValueError("no values of attribute " + ", ".join(attributes[k].name for k in sorted(lacking)))

@@ -167,7 +167,7 @@ class EvaluateStep:
         predicted, true = K.to_membership(clusters), project.true_clusters(spark)
         lines = []
         if "pairwise" in self.metrics:
-            r = K.pairwise_metrics(K.pairs_of(predicted), K.pairs_of(true)).first()
+            r = K.membership_metrics(predicted, true).first()
             lines += ["Pairwise metrics", f"  precision {r['precision']}", f"  recall    {r['recall']}", f"  f1        {r['f1']}"]
         if "cluster" in self.metrics:
             lines += ["Cluster metrics", f"  adjusted Rand index {K.adjusted_rand(K.contingency(predicted, true)).first()[0]}"]

@@ -585,7 +585,7 @@ def ag22_confusion(spark, sf_dir):
 
 @query(f"{CONFUSED} select tp, fp, fn, round(tp / (tp + fp), 9) as precision, round(tp / (tp + fn), 9) as recall, round(2 * tp / (2 * tp + fn + fp), 9) as f1 from cm")
 def ag24_pairwise_metrics(spark, sf_dir):
-    m = K.pairwise_metrics(K.pairs_of(predicted(spark, sf_dir)), K.pairs_of(truth(spark, sf_dir)))
+    m = K.membership_metrics(predicted(spark, sf_dir), truth(spark, sf_dir))
     return m.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")])
 
 
