@@ -56,7 +56,8 @@ def running(rows: DataFrame, group: list[str], value: str, weight: str) -> DataF
 
     value: an integer, once a group. A group of any size is spread over windows of RUN values each.
     """
-    own = rows.withColumn("_run", F.floor(F.col(value) / RUN))
+    # the one exchange of rows serves the sums, the windows and the join
+    own = rows.withColumn("_run", F.floor(F.col(value) / RUN)).repartition(*group, "_run")
     sums = own.groupBy(*group, "_run").agg(F.sum(weight).alias("_sum"), F.max(value).alias("_most"))
     by = Window.partitionBy(*group)  # a row a window
     before = F.coalesce(F.sum("_sum").over(by.orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
