@@ -218,7 +218,11 @@ def shared_clusters(spark: SparkSession, project: Project, cutoff: int, use_exis
         chain = project.chain(spark, cutoff)
         if chain is None:
             raise ConfigError("no saved linkage chain")
-        tables.write_clusters(C.shared_most_probable_clusters(C.most_probable_clusters(chain)), path)
+        scratch = tables.Scratch(spark, project.scratch(spark))
+        try:
+            tables.write_clusters(C.shared_best_clusters(chain, scratch), path)
+        finally:
+            scratch.close()
     return tables.read_clusters(spark, path)
 
 
