@@ -194,10 +194,12 @@ def st02_evaluate_step(spark, sf_dir):
 
 
 def melted(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """(iteration, name, n) of a CSV file with a column for each value of name; no zeros."""
-    wide = spark.read.option("header", True).option("inferSchema", True).csv(path)
-    long = wide.unpivot("iteration", [c for c in wide.columns if c != "iteration"], name, "n").where("n > 0")
-    return long.select(F.col("iteration").cast("long").alias("iteration"), F.col(name).cast("int").alias(name), F.col("n").cast("long").alias("n"))
+    """(iteration, name, n) of a CSV file with a column for each value of name, however many; no zeros."""
+    lines = spark.read.text(path).select(F.split("value", ",").alias("v"))
+    is_head = F.element_at("v", 1) == "iteration"
+    head = lines.where(is_head).select(F.posexplode("v").alias("k", name)).where("k > 0")
+    long = lines.where(~is_head).select(F.element_at("v", 1).cast("long").alias("iteration"), F.posexplode("v").alias("k", "n")).where("k > 0 and cast(n as long) > 0")
+    return long.join(head, "k").select("iteration", F.col(name).cast("int").alias(name), F.col("n").cast("long").alias("n"))
 
 
 @query(f"with {CHAIN} select iteration, size::int as cluster_size, count(*) as n from flatc group by all")

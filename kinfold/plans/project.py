@@ -192,7 +192,7 @@ class SummarizeStep:
         if chain is None:
             raise ConfigError("no saved linkage chain")
         if "cluster-size-distribution" in self.quantities:
-            tables.write_csv(C.pivot_cluster_sizes(C.cluster_size_distribution(chain)), f"{project.output}/cluster-size-distribution.csv")
+            tables.write_csv_lines(C.cluster_size_lines(C.cluster_size_distribution(chain)), "iteration", f"{project.output}/cluster-size-distribution.csv")
         if "partition-sizes" in self.quantities:
             tables.write_csv(C.pivot_partition_sizes(C.partition_sizes(chain)), f"{project.output}/partition-sizes.csv")
         if "shared-most-probable-clusters" in self.quantities:

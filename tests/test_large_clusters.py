@@ -5,6 +5,8 @@ import re
 from pyspark.sql import functions as F
 
 from kinfold.operators import chain as C
+from kinfold.plans import project
+from kinfold.plans.file_queries import melted, with_chain
 from kinfold.sources import tables
 
 ROWS = [
@@ -51,3 +53,20 @@ def test_no_exchange_repeats_a_cluster(spark):
     plan = C.most_probable_clusters(chain)._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if re.search(r"Aggregate \[rec_id", x) and "cluster#" in x]
     assert [len(r["cluster"]) for r in C.shared_best_clusters(chain).collect()] == [10_000]
+
+
+def test_counts_of_many_sizes(spark):
+    """30,000 sizes, more than a pivot or a CSV reader takes as columns."""
+    rows = {r["iteration"]: r["counts"] for r in C.cluster_size_counts(C.cluster_size_distribution(large(spark, 30_000))).collect()}
+    assert {len(c) for c in rows.values()} == {30_001}
+    assert [{k: n for k, n in enumerate(rows[i]) if n} for i in range(3)] == [{30_000: 1}, {30_000: 1}, {1: 30_000}]
+
+
+def test_file_of_many_sizes(spark):
+    out = with_chain(spark, large(spark, 30_000))
+    project.SummarizeStep(["cluster-size-distribution"]).run(spark, type("P", (), {"output": out, "chain": lambda self, s, cutoff: tables.read_chain(s, f"{out}/linkage-chain.parquet", cutoff)})())
+    path = f"{out}/cluster-size-distribution.csv"
+    head, *lines = [r[0] for r in spark.read.text(path).collect()]
+    assert head.split(",") == ["iteration", *map(str, range(30_001))]
+    assert [(x.split(",")[0], x.count(",")) for x in lines] == [(str(i), 30_001) for i in range(3)]
+    assert sorted(tuple(r) for r in melted(spark, path, "cluster_size").collect()) == [(0, 30_000, 1), (1, 30_000, 1), (2, 1, 30_000)]
