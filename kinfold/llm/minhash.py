@@ -18,6 +18,8 @@ BLOCK = 512
 BLOCK_SHINGLES = 500_000
 #: Pairs of one hub that meet its set in one place.
 HUB_ROWS = 500
+#: Ids of documents to be verified that every task may hold; beyond, they are joined by an exchange of the texts.
+HELD_IDS = 2_000_000
 _MULT = np.uint64(0xD1342543DE82EF95)
 
 
@@ -167,6 +169,14 @@ def cross_links(families: DataFrame, comp: DataFrame, sets: DataFrame, percent:
     return materialize(met, "links")
 
 
+def with_ids(docs: DataFrame, ids: DataFrame, held: int = HELD_IDS) -> DataFrame:
+    """(doc_id, text) of the documents among ids (id). Up to `held` ids go to the texts; else both are exchanged."""
+    right = ids.select(F.col("id").alias("doc_id"))
+    if ids.limit(held + 1).count() <= held:
+        right = F.broadcast(right)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(right, "doc_id", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, bands: int = 20, rows: int = 4) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -194,9 +204,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 5, bands: i
     keyed = classes.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
     bucket = materialize(keyed.join(shared, "key"), "buckets")
-    members = bucket.select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-    sets = materialize(full_sets(texts, width), "sets")
+    sets = materialize(full_sets(with_ids(docs, bucket.select("id").distinct()), width), "sets")
 
     pairs = materialize(bucket.where("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = materialize(verified(pairs, sets, percent), "verified")
