@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import materialize
+from .store import materialize, trim
 from .textgrid import Grid, batch_text, mix, pieces, stirred
 
 #: Members of a family and their shingles in a block.
@@ -81,6 +81,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, width: int = 5) -> DataFr
                         key = mix(key * _MULT + col)
                     keys.append(key.view(np.int64))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[lo:hi], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
+        trim()  # a worker that waits for its next task holds nothing
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
@@ -96,6 +97,7 @@ def full_sets(docs: DataFrame, width: int = 5) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id")[lo:hi], lists], names=["doc_id", "shingles"])
+        trim()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, shingles array<long>")
 
