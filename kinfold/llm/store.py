@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import uuid
 
@@ -48,3 +49,14 @@ def trim() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
+
+
+@functools.cache
+def keep_memory(mb: int = 64) -> None:
+    """From now on this process's C library, where it can, keeps up to so many MB that were let go of for the next
+    arrays. By itself it returns them at once, and the system clears each page of the next array anew."""
+    with contextlib.suppress(OSError, AttributeError):
+        mallopt = ctypes.CDLL(None).mallopt
+        mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD: its largest
+        mallopt(-1, mb << 20)  # M_TRIM_THRESHOLD
+        mallopt(-2, 16 << 20)  # M_TOP_PAD
