@@ -82,7 +82,7 @@ class Block:
         fresh = cover & ~np.concatenate([[False], cover[:-1]])
         opens = offs[:-1][self.count > 0]
         fresh[opens] = cover[opens]
-        first, index = np.flatnonzero(fresh), np.cumsum(cover)
+        first, index = np.flatnonzero(fresh), np.cumsum(cover, dtype=np.int32)
         count = np.diff(np.append(index[first] - 1, index[-1] if len(index) else 0))
         seg = self.segment(first)
         size, kept = count, cover
@@ -95,15 +95,18 @@ class Block:
         to_int = lambda x: x.astype(np.int32)
         return Block(self.block, self.data[kept], to_int(size), to_int(count), self.doc[seg], self.home[seg], to_int(self.start[seg] + first - offs[seg]), alive[cover], self.rank, self.words)
 
-    def grams(self, short: int) -> tuple[np.ndarray, np.ndarray]:
-        """The `short` symbols from each place on as two numbers: up to 16 bytes themselves, or 128 bits of words."""
+    def grams(self, short: int, lo: int = 0, hi: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The `short` symbols from each place (of lo to hi) on as two numbers: up to 16 bytes themselves, or 128 bits of words."""
+        total = len(self.data if self.words is None else self.words.start)
+        hi = total if hi is None else min(hi, total)
+        n = max(0, hi - lo)
         if self.words is None:
-            words, n = unaligned(self.data).copy(), len(self.data)
+            words = unaligned(self.data[lo : hi + 16]).copy()
             if short == 16:
-                return words[:n], words[8:]
+                return words[:n], words[8 : n + 8]
             mask = lambda k: np.uint64((1 << 8 * k) - 1)
-            return words[:n] & mask(min(8, short)), words[8:] & mask(max(0, short - 8))
-        a, b = (joined(h, short) for h in self.words.lanes)
+            return words[:n] & mask(min(8, short)), words[8 : n + 8] & mask(max(0, short - 8))
+        a, b = (joined(h[lo : hi + short], short)[:n] for h in self.words.lanes)
         return a, b
 
     def raw(self) -> tuple[bytes, int]:
@@ -123,11 +126,11 @@ class Block:
 
 def spread(alive: np.ndarray, width: int) -> np.ndarray:
     """The places that `width` places from each one alive cover."""
-    s = np.flatnonzero(alive)
+    edge = np.flatnonzero(np.diff(alive, prepend=False, append=False))
     step = np.zeros(len(alive) + width + 1, np.int32)
-    step[s] += 1
-    step[s + width] -= 1
-    return np.cumsum(step[: len(alive)]) > 0
+    step[edge[::2]] += 1
+    step[edge[1::2] + width - 1] -= 1
+    return np.cumsum(step[: len(alive)], dtype=np.int32) > 0
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -157,18 +160,16 @@ def joined(h: np.ndarray, n: int) -> np.ndarray:
 
 
 class Fingerprints:
-    """Two 64-bit hashes of the strings from each place on, at lengths that double from `short`."""
+    """Two 64-bit hashes of strings of `short` symbols or twice that, made for the places that are asked for."""
 
     def __init__(self, block: Block, short: int):
         self.block, self.short, self.grams = block, short, block.grams(short)
-        self.lanes: dict[tuple[int, int], np.ndarray] = {}
 
-    def level(self, k: int, lane: int) -> np.ndarray:
-        """The hashes of short * 2**k symbols."""
-        if (k, lane) not in self.lanes:
-            a, b = self.grams
-            self.lanes[k, lane] = stirred(b * _K[2 * lane + 1], a * _K[2 * lane]) if k == 0 else paired(self.level(k - 1, lane), self.short << (k - 1))
-        return self.lanes[k, lane]
+    def level(self, at: np.ndarray, k: int, lane: int) -> np.ndarray:
+        """The hashes of the short * 2**k symbols (all there) from some places on; k is 0 or 1."""
+        a, b = self.grams
+        h = stirred(b[at] * _K[2 * lane + 1], a[at] * _K[2 * lane])
+        return stirred(h * _K[4], self.level(at + self.short, 0, lane)) if k else h
 
     def of(self, start: np.ndarray, length: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
         """128 bits for each of the strings (of `least` >= short symbols or more): from hashed pieces that cover
@@ -178,10 +179,9 @@ class Fingerprints:
         out = np.empty((2, len(start)), np.uint64)
         tail = start + length - size
         for lane in (0, 1):
-            h = self.level(k, lane)
             now = length.astype(np.uint64) * _K[5]
             for j in range(4):
-                now = stirred(now, h[np.minimum(start + j * size, tail)])
+                now = stirred(now, self.level(np.minimum(start + j * size, tail), k, lane))
             out[lane] = now
         long = np.flatnonzero(length > 4 * size)
         if len(long):
@@ -408,11 +408,24 @@ def to_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return docs.mapInArrow(run, SCHEMA)
 
 
+def least_hashes(block: Block, short: int, size: int, length: int, piece: int = 32_768) -> np.ndarray:
+    """The least hash among the strings of `size` symbols in each window: Fingerprints.level (lane 0), the least by
+    sliding_min, in pieces of so many windows, whose arrays stay in a core's cache."""
+    out = np.empty(max(0, len(block.alive) - length + size), np.uint64)
+    for lo in range(0, len(out), piece):
+        hi = min(lo + piece, len(out))
+        a, b = block.grams(short, lo, hi + length - short)
+        h = stirred(b * _K[1], a * _K[0])
+        if size > short:
+            h = paired(h, short)
+        out[lo:hi] = sliding_min(h[: hi - lo + length - size], length - size + 1)
+    return out
+
+
 def sieve_keys(block: Block, short: int, size: int, length: int) -> tuple[Keys, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, documents, first windows and numbers of windows of the runs whose windows have one least hash
     among the strings of `size` bytes inside; size is short or twice short."""
-    h = Fingerprints(block, short).level(0 if size == short else 1, 0)
-    least = sliding_min(h, length - size + 1)
+    least = least_hashes(block, short, size, length)
     at, n = runs(block, least)
     return Keys(least[at]), block.docs(at), at, n
 
@@ -436,7 +449,7 @@ def windows_of(block: Block, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     step = np.zeros(len(block.alive) + 1, np.int32)
     step[at] += 1
     np.add.at(step, at + n, -1)
-    return np.cumsum(step[:-1]) > 0
+    return np.cumsum(step[:-1], dtype=np.int32) > 0
 
 
 def repeated_windows(first: DataFrame, work: Work) -> list[DataFrame]:
@@ -462,7 +475,7 @@ def repeated_windows(first: DataFrame, work: Work) -> list[DataFrame]:
     def whole(block: Block) -> tuple[Keys, np.ndarray, np.ndarray, np.ndarray]:
         """Keys of all the symbols of the runs, documents, first windows, numbers of windows."""
         prints = Fingerprints(block, short)
-        at, n = runs(block, sliding_min(prints.level(0, 0), length - short + 1))
+        at, n = runs(block, least_hashes(block, short, short, length))
         return Keys(*prints.of(at, n + length - 1, length)), block.docs(at), at, n
 
     def settle(blocks: DataFrame) -> DataFrame:

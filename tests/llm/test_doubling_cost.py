@@ -69,3 +69,40 @@ def test_sieve_by_hand():
     told = doubling.Ask("sieve").answer(0, [brief, several])
     want = [int(brief.tolist().count(k) + several[brief == k].sum() > 1) for k in brief.tolist()]
     assert told.tolist() == want
+
+
+def block_of(raw, alive=None):
+    data = np.frombuffer(raw, np.uint8)
+    one = np.array([len(data)], np.int32)
+    alive = doubling.window_ends(np.array([0, len(data)]), 50)[: len(data)] if alive is None else alive
+    return doubling.Block(0, data, one, one, np.array([1]), one * 0, one * 0, alive, np.zeros(0, np.uint64), None)
+
+
+@pytest.mark.parametrize("size", [16, 32])
+@pytest.mark.parametrize("n", [10, 49, 50, 51, 64, 1500])
+def test_least_hashes_do_not_depend_on_pieces(n, size):
+    """A window's least hash is that of the window alone, wherever a piece ends."""
+    raw = bytes(np.random.default_rng(n).integers(97, 100, n, dtype=np.uint8))
+    alone = [int(doubling.least_hashes(block_of(raw[k : k + 50]), 16, size, 50)[0]) for k in range(n - 49)]
+    for piece in (7, 64, 10_000):
+        assert doubling.least_hashes(block_of(raw), 16, size, 50, piece)[: max(0, n - 49)].tolist() == alone
+
+
+def test_hashes_of_a_run_depend_on_its_bytes():
+    raw = bytes(np.random.default_rng(3).integers(97, 100, 900, dtype=np.uint8))
+    start, length = np.array([0, 30, 100, 400, 850]), np.array([50, 63, 130, 300, 50])
+    x, y = doubling.Fingerprints(block_of(raw), 16).of(start, length, 50)
+    for i, (a, n) in enumerate(zip(start.tolist(), length.tolist(), strict=True)):
+        own = doubling.Fingerprints(block_of(b"zz" + raw[a : a + n] + b"y"), 16).of(np.array([2]), np.array([n]), 50)
+        assert (own[0][0], own[1][0]) == (x[i], y[i])
+        other = bytearray(raw[a : a + n])
+        for k in range(n):
+            changed = doubling.Fingerprints(block_of(bytes(other[:k] + b"!" + other[k + 1 :])), 16).of(np.array([0]), np.array([n]), 50)
+            assert changed[0][0] != x[i]
+
+
+@pytest.mark.parametrize("share", [0, 0.02, 0.5, 1])
+def test_spread_by_hand(share):
+    alive = np.random.default_rng(2).random(300) < share
+    for width in (1, 2, 35, 400):
+        assert doubling.spread(alive, width).tolist() == [bool(alive[max(0, i - width + 1) : i + 1].any()) for i in range(300)]
