@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import release
+
 #: Runs of key-like characters that hold a digit.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{8,}+={0,2}"
 BEFORE, AFTER = 32, 16
@@ -201,6 +203,7 @@ def train_forest(findings: DataFrame, trees: int = 15, depth: int = 5, seed: int
     for _ in range(trees):
         own = rng.integers(0, len(y), len(y))
         forest.append(grow(x[own], y[own], rng, depth))
+    release(findings.sparkSession)
     return forest
 
 

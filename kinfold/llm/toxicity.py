@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashedwords import BITS, Features, group_sums
-from .store import trim
+from .store import release
 from .textgrid import batch_text, pieces
 
 #: Bounds of the training sample: rows of each label, and bytes of all its texts.
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     share = np.array([totals[c] / max(1, (y == c).sum()) for c in (0, 1)])[y]
     model = train([t.encode() for t in once], y, share * len(y) / share.sum())
     del rows, once
-    trim()
+    release(docs.sparkSession)
     return model
 
 
