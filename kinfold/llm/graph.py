@@ -81,12 +81,14 @@ def components(links: DataFrame) -> DataFrame:
     while seen[0]:
         salts = 16 + seen[0] // SALT_ROWS
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = with_least(both, salts).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b"))
+        # written, as the next step reads it three times
+        large = materialize(with_least(both, salts).where("b > a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")), "large")
         small = with_least(large, salts)
-        stars = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        # both links of a row at once: a union would take the joins above twice
+        ends = small.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b")
         was, old = seen, now
-        now = materialize(stars.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), "links")
-        discard(old)
+        now = materialize(ends.distinct(), "links")
+        discard(old, large)
         seen = _state(now)
         if was == seen:
             break

@@ -42,3 +42,13 @@ def test_components_take_few_steps(spark, monkeypatch):
     assert len(made) <= 4
     monkeypatch.setattr(graph, "LOCAL_ROWS", 5)
     assert {r["id"]: r["component_id"] for r in graph.components(df).collect()} == want
+
+
+def test_a_step_of_components_joins_once(spark, monkeypatch):
+    """Each half of a step takes its smallest neighbours from 2 joins, not from copies of the half before."""
+    plans, write = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda t, name: plans.append(t._jdf.queryExecution().optimizedPlan().toString()) or write(t, name))
+    links = [(k, k + 1) for k in range(50)] + [(7, 7), (None, 3), (90, 80)]
+    got = graph.components(spark.createDataFrame(links, "a long, b long"))
+    assert {r["id"]: r["component_id"] for r in got.collect()} == {**dict.fromkeys(range(51), 0), 90: 80, 80: 80}
+    assert [p.count("Join Inner") for p in plans[1:]] == [2] * (len(plans) - 1)
